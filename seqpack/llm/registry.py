@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from seqpack.llm import near_dedup
+from seqpack.llm import ann, bpe, near_dedup, sharding, url_filter
 
 QUERIES = {
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op4_bpe": bpe.op4_bpe,
+    "op5_url_filters": url_filter.op5_url_filters,
+    "op6_block_neighbours": ann.op6_block_neighbours,
+    "op8_hilbert_shards": sharding.op8_hilbert_shards,
 }
 ORACLES: dict[str, str] = {}
