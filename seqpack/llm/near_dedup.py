@@ -5,9 +5,11 @@ Sketches are made by fast similarity sketching: in round r every element throws
 coordinates, first at random, from round t on into coordinate r - t alone, so that after 2t rounds at most none is empty;
 a coordinate keeps its least (round, hash). Runs of coordinates are banded into bucket keys.
 
-Within a bucket no pairs are listed. Members are compared with one leader on full sets; links are closed to components; buckets
-that still hold several components are compared again with other leaders and then, whatever is left, block by block, so that
-every two sets of a bucket are either in one component or were compared.
+No pairs are listed. Nodes (distinct sets) that share a bucket, directly or through others, form a family: star edges from each
+bucket's least node, closed to components over ids alone. A family's full sets then meet once, in blocks of bounded size: inside
+a task every two sets that share a key, fit in size and are not yet linked are compared whole, and each block (or pair of blocks
+of one large family) gives the stars of what it linked. Closing these to components gives the classes; any two sets that share a
+bucket are so either in one class or were compared.
 
 Defined results: null or empty text: empty set, linked with nothing. Equal sets form one class whatever doc_id they carry; rows
 that repeat a doc_id keep a row each. A null doc_id never names a component unless all of its members lack one. Extra columns
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from seqpack.llm import common
 from seqpack.llm.common import U64, cut, mix
 
-SHINGLE, COORDINATES, BANDS, ROWS = 5, 125, 25, 5
+#: A pair at the threshold meets in a bucket but for 4 in 100,000.
+SHINGLE, BANDS, ROWS = 5, 32, 8
+COORDINATES = BANDS * ROWS
 PERCENT = 85
-#: Shingles that one verification task holds beside a leader, members of a block, and rounds with new leaders before blocks.
-TASK_SHINGLES, BLOCK, ROUNDS = 1 << 20, 128, 2
+#: Sets, and shingles of them, in one block of a family.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1_500_000
 _PLACES = mix(np.arange(101, 101 + 64, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -109,77 +113,75 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def _compared(batches):
-    """Rows come sorted by (leader, salt, role): a leader's row, then those to compare with it."""
-    leader = name = None
-    for b in batches:
-        found: tuple[list, list] = ([], [])
-        for node, role, node_b, elements in zip(*(b.column(c).to_pylist() for c in ("leader", "role", "node")), b.column("elements"), strict=True):
-            s = np.frombuffer(elements.as_buffer(), U64)
-            if not role:
-                leader, name = s.copy(), node
-            elif node == name and alike(leader, s):
-                found[0].append(node)
-                found[1].append(node_b)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found], ["a", "b"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (leader, node, n), those whose full sets are alike, as edges (a, b). A leader's members are dealt to tasks by size."""
-    parts = pairs.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(TASK_SHINGLES)).cast("int").alias("parts"))
-    salted = cut(pairs.join(parts, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt")))
-    members = salted.join(sets, "node").select("leader", "salt", F.lit(1).alias("role"), "node", "elements")
-    leaders = salted.select("leader", "salt").distinct().withColumn("node", F.col("leader")).join(sets, "node").select("leader", "salt", F.lit(0).alias("role"), "node", "elements")
-    dealt = members.unionByName(leaders).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
-    return dealt.mapInArrow(_compared, "a binary, b binary")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the least node of its component. Least labels spread over edges, then jump."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumnRenamed("a", "node"))
+    labels = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         offered = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
         spread = cut(labels.join(offered, "node").select("node", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved")))
         if not spread.where("moved").limit(1).count():
             return spread.select("node", "label")
         upper = spread.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        labels = cut(spread.join(upper, "label").select("node", F.least("label", "higher").alias("label")))
-
-
-def _blocks(frame):
-    """Rows of one pair of blocks of a bucket: every two sets of different components that stand in both blocks, or in the one."""
-    sets = [np.frombuffer(x, U64) for x in frame["elements"]]
-    side, node, group = frame["side"].tolist(), frame["node"].tolist(), frame["label"].tolist()
-    root = {g: g for g in group}
-
-    def top(g):
-        while root[g] != g:
-            g = root[g]
-        return g
-
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    found = []
-    for x, i in enumerate(order):
-        for j in order[x + 1 :]:
-            if 100 * len(sets[i]) < PERCENT * len(sets[j]):
-                break
-            if (side[i] != side[j] or side[i] == 2) and top(group[i]) != top(group[j]) and alike(sets[i], sets[j]):
-                root[top(group[i])] = top(group[j])
-                found.append((node[i], node[j]))
-    import pandas as pd
-
-    return pd.DataFrame(found, columns=["a", "b"])
-
-
-def _rest(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges among the members (key, node, label) of buckets that hold several components, by pairs of blocks of at most about BLOCK members."""
-    sized = mixed.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("node") % F.lit(1 << 40)).alias("who"))
-    once = cut(sized.groupBy("m", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("k")))
-    placed = mixed.join(once, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("k")).cast("int"))
-    dealt = placed.select("key", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    dealt = dealt.select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int")).alias("side"))
-    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInPandas(_blocks, "a binary, b binary")
+        labels = spread.join(upper, "label").select("node", F.least("label", "higher").alias("label"))
+
+
+def linked(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> list[int]:
+    """For each set the least index of its component, over links of two sets that share a key and stand on different sides, or both on side 2."""
+    root, size = list(range(len(sets))), np.array([len(s) for s in sets])
+
+    def top(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    order = np.argsort(size, kind="stable")
+    size, keys, side = size[order], keys[order], side[order]
+    ends = np.searchsorted(size * percent, size * 100, side="right")
+    for x, end in enumerate(ends.tolist()):
+        near = x + 1 + np.flatnonzero((keys[x + 1 : end] == keys[x]).any(axis=1) & ((side[x + 1 : end] != side[x]) | (side[x] == 2)))
+        i = int(order[x])
+        for j in order[near].tolist():
+            a, b = top(i), top(j)
+            if a != b and alike(sets[i], sets[j], percent):
+                root[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(sets))]
+
+
+def _stars(rows: list[tuple]) -> tuple[list, list]:
+    """Edges from the least node of each component of a group of rows (node, side, keys, elements)."""
+    rows = sorted(rows, key=lambda r: r[0])
+    tops = linked([np.frombuffer(r[3], U64) for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows]))
+    pairs = [(rows[t][0], rows[i][0]) for i, t in enumerate(tops) if t != i]
+    return [a for a, _ in pairs], [b for _, b in pairs]
+
+
+def _linked(batches):
+    """Rows come sorted by (family, i, j); each such group is one task's block or pair of blocks."""
+    group, rows = None, []
+    for b in batches:
+        out: tuple[list, list] = ([], [])
+        for family, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("family", "i", "j", "node", "side", "keys", "elements")), strict=True):
+            if (family, i, j) != group:
+                if len(rows) > 1:
+                    for x, y in zip(out, _stars(rows), strict=True):
+                        x += y
+                group, rows = (family, i, j), []
+            rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["a", "b"])
+    if len(rows) > 1:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in _stars(rows)], ["a", "b"])
+
+
+def _verified(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) among the members (family, node, n, keys) of each family, by full sets."""
+    sized = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("k"))
+    placed = families.join(sized, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = placed.select("family", "node", "keys", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int"))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", side.alias("side"), "keys")
+    together = dealt.join(sets, "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return together.mapInArrow(_linked, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -187,34 +189,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     class names the component (null for empty sets): its rows are near-duplicates of one another.
     """
-    docs = docs.select("doc_id", "text")
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     seen = cut(keyed.mapInArrow(_sketched, "doc_id long, text_key long, n_shingles long, node binary, keys array<long>"))
-    nodes = cut(seen.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n_shingles", "keys")).alias("m")).select("node", "m.doc_id", "m.text_key", "m.n_shingles", "m.keys"))
-    members = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    lead = lambda seed: F.struct(F.xxhash64(F.lit(seed), "node"), "node", "n")
-    leaders = cut(members.groupBy("key").agg(F.min(lead(0)).alias("lo"), F.max(lead(0)).alias("hi")).where("lo.node <> hi.node").select("key", F.col("lo.node").alias("leader"), F.col("lo.n").alias("leader_n")))
-    crowded = cut(members.join(leaders, "key"))
-    fits = f"node <> leader and 100 * least(n, leader_n) >= {PERCENT} * greatest(n, leader_n)"
-    pairs = cut(crowded.where(fits).select("leader", "node", "n").distinct())
-    wanted = crowded.select("node").distinct().join(nodes.select("node", "doc_id", "text_key"), "node")
-    sets = cut(_fetch(docs, wanted))
-    edges = cut(_verified(pairs, sets))
-    for step in range(1, ROUNDS + 2):
-        labels = components(edges)
-        grouped = cut(crowded.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
-        least = lambda seed: F.struct("label", F.xxhash64(F.lit(seed), "node"), "node", "n")
-        split = cut(grouped.groupBy("key").agg(F.min(least(step)).alias("lo"), F.max(least(step)).alias("hi")).where("lo.label <> hi.label"))
-        if not split.limit(1).count():
-            break
-        if step > ROUNDS:
-            more = _rest(grouped.join(split.select("key"), "key").select("key", "node", "label"), sets)
-        else:
-            ends = cut(split.select("key", F.explode(F.array("lo", "hi")).alias("end")).select("key", F.col("end.node").alias("leader"), F.col("end.n").alias("leader_n"), F.col("end.label").alias("leader_label")))
-            more = _verified(cut(grouped.join(ends, "key").where(fits + " and label <> leader_label").select("leader", "node", "n").distinct()), sets)
-        edges = cut(edges.union(more))
-        labels = None
-    labels = components(edges) if labels is None else labels
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n_shingles", "keys")).alias("m")
+    nodes = cut(seen.where("node is not null").groupBy("node").agg(first).select("node", "m.doc_id", "m.text_key", F.col("m.n_shingles").alias("n"), "m.keys"))
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    stars = cut(members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a"))
+    families = cut(components(members.join(stars, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("label", "family"))
+    gathered = cut(families.join(nodes, "node"))
+    sets = cut(_fetch(keyed, gathered.select("node", F.col("doc_id").alias("its"), F.col("text_key").alias("own"))))
+    labels = components(_verified(gathered.select("family", "node", "n", "keys"), sets))
     classes = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("class"))
     least_id = cut(classes.groupBy("class").agg(F.min("doc_id").alias("component_id")))
     classes = cut(classes.join(least_id, "class").select("node", "class", "component_id"))
@@ -223,10 +207,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class")
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, elements) of the wanted nodes, each from the row that names it."""
-    here = (F.xxhash64("text") == wanted.text_key) & F.col("id").eqNullSafe(wanted.doc_id)
-    return docs.withColumnRenamed("doc_id", "id").join(wanted, here).select("node", "text").mapInArrow(_with_sets, "node binary, elements binary")
+def _fetch(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, elements) of the wanted (node, its, own), each from the row that names it."""
+    rows = keyed.join(wanted, (F.col("text_key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("its")))
+    return rows.select("node", "text").mapInArrow(_with_sets, "node binary, elements binary")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
