@@ -185,9 +185,9 @@ def _verified(families: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, class binary) for each row of docs (doc_id, text, ...).
+    """(doc_id, n_shingles, component_id, kept, class binary, text_key) for each row of docs (doc_id, text, ...).
 
-    class names the component (null for empty sets): its rows are near-duplicates of one another.
+    class names the component (null for empty sets): its rows are near-duplicates of one another. text_key is a checksum of the text.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     seen = cut(keyed.mapInArrow(_sketched, "doc_id long, text_key long, n_shingles long, node binary, keys array<long>"))
@@ -202,9 +202,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("class"))
     least_id = cut(classes.groupBy("class").agg(F.min("doc_id").alias("component_id")))
     classes = cut(classes.join(least_id, "class").select("node", "class", "component_id"))
-    out = seen.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
+    out = seen.select("doc_id", "text_key", "n_shingles", "node").join(classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class", "text_key")
 
 
 def _fetch(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -214,4 +214,4 @@ def _fetch(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("class")
+    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("class", "text_key")
