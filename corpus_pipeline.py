@@ -31,12 +31,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the row with the least (doc_id, text checksum) stays; rows with empty sets all stay."""
-    judged = near_dedup.near_duplicates(docs)
-    keep, left = judged.where("class is not null and kept").select("doc_id").distinct(), judged.where("class is null").select("doc_id").distinct()
-    ids = common.cut(keep.union(left).distinct()).select(F.col("doc_id").alias(kept := common.free_name(docs, "kept_id")))
-    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids[kept]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else rows
+    """Of each class the row with the least (doc_id, nulls last; text checksum) stays; rows without a word all stay."""
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key")).alias("m")
+    keepers = common.cut(near_dedup.near_duplicates(docs).where("class is not null").groupBy("class").agg(least).select("m.*"))
+    names = [common.free_name(docs, c) for c in ("none", "id", "text_key")]
+    keys = docs.where(wordy).withColumns(dict(zip(names, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")), strict=True)))
+    kept = keys.join(keepers.toDF(*names), names, "left_semi").dropDuplicates(names).select(*[f"`{c}`" for c in docs.columns])
+    return kept.unionByName(docs.where(~wordy))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
