@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from seqpack.plans import sequences  # noqa: F401  entering their queries
+from seqpack.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
