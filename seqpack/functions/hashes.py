@@ -34,7 +34,7 @@ def fnv1a(column: Column) -> Column:
             h[:n] = (h[:n] ^ flat[at[:n] + k]) * np.uint64(FNV_PRIME)
         out = np.empty(len(rows), np.uint64)
         out[order] = h
-        return pd.Series(out.view(np.int64)).where(pd.Series(length >= 0), None).astype("Int64")
+        return pd.Series(pd.arrays.IntegerArray(out.view(np.int64), length < 0))
 
     return run(column)
 
@@ -47,7 +47,7 @@ def mix64(column: Column) -> Column:
         v = x.fillna(0).to_numpy(np.int64).view(np.uint64)
         v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return pd.Series((v ^ (v >> np.uint64(31))).view(np.int64)).where(x.notna().to_numpy(), None).astype("Int64")
+        return pd.Series(pd.arrays.IntegerArray((v ^ (v >> np.uint64(31))).view(np.int64), x.isna().to_numpy()))
 
     return run(column)
 
