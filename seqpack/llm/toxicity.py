@@ -123,7 +123,7 @@ class Classifier:
 
     def features(self, folded: list[bytes]) -> np.ndarray:
         each = [windows(f) for f in folded]
-        n = np.array([len(w) for w in each])
+        n = np.array([len(w) for w in each], np.int64)
         flat = [w for ws in each for w in ws]
         toxic, ordinary = (np.fromiter(map(len, c.multi_compress_to_buffer(flat)), np.int64, len(flat)) if flat else np.zeros(0, np.int64) for c in self._compressors())
         saved, owner = ordinary - toxic, np.repeat(np.arange(len(folded)), n)
