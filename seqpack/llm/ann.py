@@ -40,8 +40,9 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def distances(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Squares are summed from the first component to the last, so that equal vectors have equal distances in any tile."""
     gap = rows - query
-    return np.sqrt((gap * gap).sum(axis=1))
+    return np.sqrt(np.cumsum(gap * gap, axis=1)[:, -1])
 
 
 def survivors(q: tuple, r: tuple, k: int, best: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -124,3 +125,12 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
 def op6_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(common.table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = f"""
+with v as (select vec_id, embedding::double[] as x from embeddings where vec_id is not null and embedding is not null),
+sound as (select vec_id, x from v where not list_contains(list_transform(x, lambda c: c is null or isnan(c) or isinf(c)), true) and list_contains(list_transform(x, lambda c: c <> 0), true)),
+pairs as (select q.vec_id as query_id, r.vec_id, sqrt(list_sum(list_transform(list_zip(q.x, r.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as score from sound q join sound r on q.vec_id % {EVERY} = 0 and q.vec_id <> r.vec_id and len(q.x) = len(r.x))
+select query_id, (row_number() over (partition by query_id order by score, vec_id))::int as rank, vec_id, score from pairs
+qualify row_number() over (partition by query_id order by score, vec_id) <= {K}
+"""

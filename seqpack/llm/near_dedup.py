@@ -215,3 +215,17 @@ def _fetch(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents")).drop("class", "text_key")
+
+
+ORACLE = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, case when len(w) < {SHINGLE} then w else w[i:i + {SHINGLE} - 1] end as g from (select doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE} + 1, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by all),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select c.a, c.b from c join n x on x.doc_id = c.a join n y on y.doc_id = c.b where 100 * c.c >= {PERCENT} * (x.n + y.n - c.c)),
+u as (select a, b from e union all select b, a from e),
+r as (select a, b from u union select r.a, u.b from r join u on r.b = u.a),
+m as (select a, min(b) as least from r group by all)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) as component_id, d.doc_id <= coalesce(m.least, d.doc_id) as kept
+from documents d left join n on n.doc_id = d.doc_id left join m on m.a = d.doc_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_decontaminate": decontam.op9_decontaminate,
     "op10_langid": langid.op10_langid,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op6_block_neighbours": ann.ORACLE}
