@@ -144,6 +144,19 @@ def release_problems(files: DataFrame) -> DataFrame:
     return files.withColumn("problems", why).where(F.size("problems") > 0)
 
 
+def valid_shards(shards: DataFrame, devices: DataFrame) -> DataFrame:
+    """shards (device, bits, begin, n) with the reasons against them: unknown device, codec, range."""
+    known = shards.join(devices.select(F.col("ordinal").alias("device"), F.lit(True).alias("known")), "device", "left")
+    why = F.array_compact(F.array(F.when(F.col("known").isNull(), F.lit("device")), F.when(~F.col("bits").isin(2, 4, 8, 16), F.lit("codec")), F.when((F.col("begin") < 0) | (F.col("n") < 1), F.lit("range"))))
+    return known.withColumn("reasons", why).drop("known")
+
+
+def scenarios(spark) -> DataFrame:
+    """[E4] The scenarios that a qualification has to hold evidence of."""
+    names = ("baseline", "long context", "many sequences", "shared prefix", "speculation", "migration", "worker failure", "overload", "soak")
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "scenario_id int, name string")
+
+
 def supports(mask: Column, model: Column) -> Column:
     """[P38]"""
     return (model < 64) & (F.shiftright(mask, 0).bitwiseAND(F.expr("shiftleft(1L, cast(model_id as int))")) != 0)

@@ -186,3 +186,34 @@ def pattern_ranges(spark, d):
     t = B.role_tokens(spark, d)
     patterns = search.ngrams(t, 2).select(F.concat_ws(" ", "gram").alias("pid"), F.col("gram").alias("syms")).distinct()
     return search.ranges(t, suffix_array(spark, d), patterns, [2])
+
+
+SORTED = f"with {B.EVENTS} select stream_id, pos, sym from tok where stream_id % 3 = 0 and pos % 5 = 0"
+
+
+@query("seq_access_sorted", SORTED)
+def seq_access_sorted(spark, d):
+    """[O7, P1] Access at sorted positions: the queries are many, so neither side is small."""
+    t = B.event_tokens(spark, d)
+    q = t.where("stream_id % 3 = 0 and pos % 5 = 0").select(F.col("stream_id").alias("qid"), "stream_id", "pos")
+    return succinct.access(t, q).drop("qid")
+
+
+@query("seq_access_contiguous", f"with {B.EVENTS} select stream_id, pos, sym from tok where stream_id % 3 = 0 and pos < 20")
+def seq_access_contiguous(spark, d):
+    """[O7, P1] Access at contiguous positions."""
+    t = B.event_tokens(spark, d)
+    return succinct.access(t, t.where("stream_id % 3 = 0 and pos < 20").select(F.col("stream_id").alias("qid"), "stream_id", "pos")).drop("qid")
+
+
+@query("sql_functions", f"with {B.EVENTS}, a as (select stream_id, pos, sym as x, lead(sym) over (partition by stream_id order by pos) as y from tok) select 'locate' as f, stream_id, pos, null::bigint as n from a where x = 'view' and y = 'click' union all select 'count', null, null, count(*) from a where x = 'view' and y = 'click' union all select 'rank', 3, 10, (select count(*) from tok where stream_id = 3 and sym = 'view' and pos < 10) union all select 'slice', 3, pos, length(sym) from tok where stream_id = 3 and pos >= 2 and pos < 5")
+def sql_functions(spark, d):
+    """[U1, U5] The table functions that spark.sql users call."""
+    from seqpack.functions import sql
+
+    sql.register(spark, B.event_tokens(spark, d))
+    return spark.sql("""
+        select 'locate' as f, stream_id, pos, cast(null as bigint) as n from seq_locate('view', 'click')
+        union all select 'count', null, null, n from seq_count('view', 'click')
+        union all select 'rank', 3, 10, rank from seq_rank(3, 'view', 10)
+        union all select 'slice', 3, pos, cast(length(sym) as bigint) from seq_slice(3, 2, 5)""")

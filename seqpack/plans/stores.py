@@ -307,3 +307,17 @@ def scale_plan(spark, d):
     t = B.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("tenant")).agg(F.count_if(F.col("o_orderstatus") == "P").alias("queued"))
     c = B.table(spark, d, "supplier").selectExpr("s_suppkey as worker_id", "s_suppkey % 4 as state", "s_suppkey % 6 = 0 as circuit_open")
     return control.scale_plan(t, c, 10)
+
+
+@query("shard_validity", f"with {DEVICES}, s as (select l_orderkey, l_linenumber, (l_suppkey % 30)::int as device, case l_linenumber when 1 then 2 when 2 then 4 when 3 then 8 when 4 then 16 else 3 end as bits, l_partkey - 20 as begin from lineitem) select concat_ws(',', case when device not in (select ordinal from dev) then 'device' end, case when bits not in (2, 4, 8, 16) then 'codec' end, case when begin < 0 then 'range' end) as reasons, count(*) as n from s group by all")
+def shard_validity(spark, d):
+    """Why shards are refused."""
+    s = B.table(spark, d, "lineitem").selectExpr("cast(l_suppkey % 30 as int) as device", "case l_linenumber when 1 then 2 when 2 then 4 when 3 then 8 when 4 then 16 else 3 end as bits", "l_partkey - 20 as begin", "1 as n")
+    return control.valid_shards(s, devices(spark, d)).groupBy(F.concat_ws(",", "reasons").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query("scenario_coverage", "with s as (select unnest(['baseline', 'long context', 'many sequences', 'shared prefix', 'speculation', 'migration', 'worker failure', 'overload', 'soak']) as name) select name, (select count(*) from events where event_id % 9 = list_position(['baseline', 'long context', 'many sequences', 'shared prefix', 'speculation', 'migration', 'worker failure', 'overload', 'soak'], name) - 1) as evidence from s")
+def scenario_coverage(spark, d):
+    """[E4, E5] How much evidence there is of each scenario."""
+    e = B.table(spark, d, "events").groupBy((F.col("event_id") % 9).cast("int").alias("scenario_id")).agg(F.count("*").alias("evidence"))
+    return control.scenarios(spark).join(e, "scenario_id", "left").select("name", F.coalesce("evidence", F.lit(0)).alias("evidence"))
