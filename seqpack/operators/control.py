@@ -14,7 +14,7 @@ ROLES = {"router": ("route",), "prefill": ("publish", "transfer"), "decode": ("f
 def layer_devices(layers: int, devices: DataFrame) -> DataFrame:
     """[P42] (layer, ordinal): layer * D div L."""
     n = devices.agg(F.count("*").alias("d"))
-    return devices.sparkSession.range(layers).crossJoin(F.broadcast(n)).select(F.col("id").alias("layer"), F.expr(f"id * d div {layers}").alias("ordinal"))
+    return devices.sparkSession.range(layers).crossJoin(n).select(F.col("id").alias("layer"), F.expr(f"id * d div {layers}").alias("ordinal"))
 
 
 def peer_links(devices: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def role_table(spark) -> DataFrame:
 
 def authorized(requests: DataFrame, table: DataFrame) -> DataFrame:
     """[P39, F12, T15] requests (role, operation, tenant, resource_tenant) with allowed: the role may do it, within its tenant unless it is admin."""
-    may = requests.join(F.broadcast(table.withColumn("may", F.lit(True))), ["role", "operation"], "left")
+    may = requests.join(table.withColumn("may", F.lit(True)), ["role", "operation"], "left")
     return may.withColumn("allowed", F.coalesce("may", F.lit(False)) & ((F.col("role") == "admin") | (F.col("tenant") == F.col("resource_tenant")))).drop("may")
 
 
@@ -173,9 +173,9 @@ def fairness() -> Column:
 
 
 def best_worker(requests: DataFrame, workers: DataFrame) -> DataFrame:
-    """[J16, O5] Per request the eligible worker of least score, ties to the least id. workers is a registry of bounded size."""
+    """[J16, O5] Per request the eligible worker of least score, ties to the least id.."""
     prefill, decode = estimates()
-    pairs = requests.crossJoin(F.broadcast(workers.where("state < 2 and not circuit_open"))).where(supports(F.col("model_mask"), F.col("model_id")))
+    pairs = requests.crossJoin(workers.where("state < 2 and not circuit_open")).where(supports(F.col("model_mask"), F.col("model_id")))
     scored = pairs.withColumn("prefill_us", prefill).withColumn("decode_us", decode)
     score = F.when(F.col("deadline") > 0, F.col("prefill_us") + F.col("decode_us")).otherwise(0) + (F.col("queue_depth") + F.col("active")) * 1000
     best = F.row_number().over(Window.partitionBy("request_id").orderBy("score", "worker_id"))

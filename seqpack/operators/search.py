@@ -22,6 +22,18 @@ def ngrams(tokens: DataFrame, n: int) -> DataFrame:
     return tokens.select("stream_id", "pos", *cols).where(F.col(f"s{n - 1}").isNotNull()).select("stream_id", "pos", F.array(*[f"s{k}" for k in range(n)]).alias("gram"))
 
 
+def ngrams_of_rows(rows: DataFrame, n: int) -> DataFrame:
+    """[W4] As ngrams(), of streams that are rows of arrays (stream_id, syms): nothing is shuffled."""
+    at = F.expr(f"explode(if(size(syms) < {n}, array(), transform(sequence(0, size(syms) - {n}), i -> struct(cast(i as bigint) as pos, slice(syms, i + 1, {n}) as gram))))")
+    return rows.select("stream_id", at.alias("g")).select("stream_id", "g.pos", "g.gram")
+
+
+def counted(grams: DataFrame, patterns: DataFrame) -> DataFrame:
+    """[A5] patterns (pid, syms) with their number of occurrences among grams of one length, 0 included."""
+    found = grams.groupBy("gram").agg(F.count("*").alias("k"))
+    return patterns.join(found, patterns.syms == found.gram, "left").select("pid", "syms", F.coalesce("k", F.lit(0)).alias("n"))
+
+
 def _by_length(tokens: DataFrame, patterns: DataFrame, lengths: list[int], join) -> DataFrame:
     if not lengths or min(lengths) < 1:
         raise ValueError("patterns of length 0 have no occurrences")
@@ -34,12 +46,7 @@ def _by_length(tokens: DataFrame, patterns: DataFrame, lengths: list[int], join)
 
 def count(tokens: DataFrame, patterns: DataFrame, lengths: list[int]) -> DataFrame:
     """[A5, J23] patterns (pid, syms) with their number of occurrences, 0 included. Grams are counted before they meet the patterns."""
-
-    def join(grams, some):
-        counted = grams.groupBy("gram").agg(F.count("*").alias("k"))
-        return some.join(counted, some.syms == counted.gram, "left").select("pid", "syms", F.coalesce("k", F.lit(0)).alias("n"))
-
-    return _by_length(tokens, patterns, lengths, join)
+    return _by_length(tokens, patterns, lengths, counted)
 
 
 def locate(tokens: DataFrame, patterns: DataFrame, lengths: list[int]) -> DataFrame:

@@ -42,10 +42,10 @@ def located_positions(spark, d):
 @query("text_pattern_count", f"with {B.TEXTS}, g as (select sym as a, lead(sym) over (partition by stream_id order by pos) as b from tok) select a || ' ' || b as pid, count(*) as n from g where a in ('the', 'of', 'de') and b is not null group by all")
 def text_pattern_count(spark, d):
     """[A5] Pairs of words that begin with one of three words."""
-    grams = search.ngrams(B.text_tokens(spark, d), 2)
-    some = grams.where(F.col("gram")[0].isin("the", "of", "de")).select("gram").distinct()
-    patterns = some.select(F.concat_ws(" ", "gram").alias("pid"), F.col("gram").alias("syms"))
-    return search.count(B.text_tokens(spark, d), patterns, [2]).select("pid", "n")
+    grams = search.ngrams_of_rows(B.table(spark, d, "documents").select(F.col("doc_id").alias("stream_id"), F.split("text", " ").alias("syms")), 2)
+    sought = grams.where(F.col("gram")[0].isin("the", "of", "de"))
+    patterns = sought.select("gram").distinct().select(F.concat_ws(" ", "gram").alias("pid"), F.col("gram").alias("syms"))
+    return search.counted(sought, patterns).select("pid", "n")
 
 
 NEXT = "g as (select stream_id, pos, sym as a, lead(sym, 1) over w as b, lead(sym, 2) over w as nxt from tok window w as (partition by stream_id order by pos)), k as (select a, b, nxt, count(*) as n from g where nxt is not null group by all), best as (select * from k qualify row_number() over (partition by a, b order by n desc, nxt) = 1)"

@@ -119,7 +119,7 @@ def _ids(spark, d):
     from pyspark.sql.window import Window
 
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return t.crossJoin(F.broadcast(n)).select(F.col("user_id").alias("stream_id"), pos.cast("long").alias("pos"), (F.col("event_id") % F.col("n")).alias("sym"))
+    return t.crossJoin(n).select(F.col("user_id").alias("stream_id"), pos.cast("long").alias("pos"), (F.col("event_id") % F.col("n")).alias("sym"))
 
 
 def _embedding(spark, d):
@@ -244,7 +244,7 @@ def attention_paged_tail(spark, d):
     """[X1, J7, P18, T2, A38] Sealed int4 pages and the dense tail are one history."""
     v = B.vectors(spark, d)
     edge = v.agg((F.expr("max(token) div 64") * 64).alias("first"))
-    v = v.crossJoin(F.broadcast(edge))
+    v = v.crossJoin(edge)
     sealed = codec.quantized(v.where("token < first"), ["page", "dim"], 4, "away").select("token", "dim", F.col("back").alias("x"))
     history = kv.heads(sealed.unionByName(v.where("token >= first").select("token", "dim", "x")), HEAD)
     q, _ = _hist(spark, d)
