@@ -4,7 +4,7 @@ A text is split into lines. A rolling hash over the hashes of neighbouring lines
 cuts depend on content and survive shifts; a line of WORDS words or more is cut off on both sides, as a passage of its own.
 Chunks of two lines or more, or of WORDS words, are sought in the whole table: digests are counted first, and only chunks whose
 digest repeats are brought together with their bytes. Of equal chunks the first in the order (doc_id, nulls last; position)
-stays, the others are removed. Other lines are never touched.
+stays, the others are removed. Other lines are never touched. Joins shuffle at every size; none is left to become a broadcast.
 
 Defined results: a null text stays null and an empty one empty. Rows equal in doc_id and text count as one document and get the
 same result. Chunks of white space alone are never removed. Extra columns pass through. An empty table gives no rows.
@@ -44,17 +44,17 @@ def dedup_lines(docs: DataFrame, cut_at: int = CUT, words: int = WORDS, count: s
     each = named.select("id", "key", F.explode(F.transform(F.filter(chunks, lambda c: c["counts"]), lambda c: F.struct(c["pos"].alias("pos"), c["digest"].alias("digest")))).alias("c"))
     each = cut(each.select("id", "key", "c.pos", "c.digest"))
     repeated = cut(each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
-    suspects = cut(each.join(repeated, "digest").groupBy("id", "key").agg(F.collect_set("pos").alias("at")))
+    suspects = cut(each.join(repeated.hint("merge"), "digest").groupBy("id", "key").agg(F.collect_set("pos").alias("at")))
     suspects = suspects.select(F.col("id").alias("its"), F.col("key").alias("own"), "at")
-    found = named.join(suspects, F.col("id").eqNullSafe(F.col("its")) & (F.col("key") == F.col("own")))
+    found = named.join(suspects.hint("merge"), F.col("id").eqNullSafe(F.col("its")) & (F.col("key") == F.col("own")))
     found = found.select("id", "key", F.explode(F.filter(chunks, lambda c: F.array_contains("at", c["pos"]))).alias("c"))
     found = cut(found.select("id", "key", "c.pos", "c.digest", "c.chunk"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "pos")
     firsts = cut(found.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first <> final").select("digest", "chunk", "first"))
-    later = found.join(firsts, ["digest", "chunk"]).where(~place.eqNullSafe(F.col("first")))
+    later = found.join(firsts.hint("merge"), ["digest", "chunk"]).where(~place.eqNullSafe(F.col("first")))
     gone = cut(later.groupBy("id", "key").agg(F.collect_set("pos").alias("gone")))
     gone = gone.select(F.col("id").alias(doc), F.col("key").alias(of), F.col("gone").alias(gone_at))
-    out = own.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(of)), "left")
+    out = own.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(of)), "left")
     left = F.array_join(F.transform(F.filter(chunks, lambda c: ~F.array_contains(gone_at, c["pos"])), lambda c: c["chunk"]), "\n")
     text = F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(left).alias("text")
     return out.select(*[text if c == "text" else F.col(f"`{c}`") for c in columns], F.coalesce(F.size(gone_at), F.lit(0)).alias(count))
