@@ -62,6 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        before = common.mark()
         (out := stage(spark, docs, sf_dir)).write.parquet(path)
+        common.sweep(spark, before)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
