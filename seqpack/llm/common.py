@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
@@ -27,6 +28,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def least_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows of least hashes of key, at most so many. Rows far above the expected limit are dropped before the sort, so what tasks hand on does not grow with their number."""
+    h, n = F.pmod(F.xxhash64(key), F.lit(1 << 30)), df.count()
+    near = df.where(h < F.lit(int((1 << 30) * min(1.0, 2 * most / n)))) if n > 2 * most else df
+    return near.orderBy(h, key).limit(most)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -62,6 +62,18 @@ def _grams(folded: bytes) -> np.ndarray:
     return np.unique(code)
 
 
+def _counted(folded: list[bytes], most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and in how many texts each stands, merged whenever so many wait."""
+    codes, n, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for k, f in enumerate(folded):
+        waiting.append(_grams(f))
+        if k == len(folded) - 1 or sum(map(len, waiting)) > most:
+            codes, at = np.unique(np.concatenate([codes, *waiting]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, np.ones(sum(map(len, waiting)), np.int64)]), len(codes)).astype(np.int64)
+            waiting = []
+    return codes, n
+
+
 def _values(own: tuple[np.ndarray, np.ndarray, int], other: tuple[np.ndarray, np.ndarray, int]) -> dict[bytes, float]:
     """The grams that mark own against other, each with its value: documents times log odds."""
     codes, n, docs = own
@@ -104,7 +116,7 @@ class Classifier:
         folded, counted = [fold(t) for t in texts], []
         for label in (True, False):
             own = [f for f, t in zip(folded, toxic, strict=True) if t == label]
-            codes, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(_grams, own)]), return_counts=True)
+            codes, n = _counted(own)
             counted.append(((codes, n, len(own)), set().union(*(f.split() for f in own))))
         (bad, bad_words), (good, good_words) = counted
         self.contents = cover(_values(bad, good), bad_words, TOXIC_BYTES), cover(_values(good, bad), good_words, ORDINARY_BYTES)
@@ -153,8 +165,8 @@ class Classifier:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> Classifier | None:
     """A classifier from at most rows labelled rows (doc_id, toxic) and size bytes of their texts."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    joined = docs.select("doc_id", "text").join(F.broadcast(common.cut(some)), "doc_id").select("toxic", "text", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n"))
+    some = common.cut(common.least_hashes(common.cut(known), "doc_id", rows))
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", "text", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n"))
     texts, toxic, left = [], [], size
     for row in common.cut(joined).orderBy("h", "text").limit(rows).toLocalIterator():
         left -= row.n or 0
