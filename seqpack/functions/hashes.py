@@ -57,13 +57,13 @@ def page_checksum(keys: Column, values: Column) -> Column:
     return F.sha2(F.concat(F.sha2(keys, 256), F.lit("|"), F.sha2(values, 256)), 256)
 
 
+#: The names of error codes from 0 on.
+ERRORS = ("none", "admission_quota", "admission_overload", "worker_unavailable", "transfer_auth", "transfer_integrity", "lease_stale", "checkpoint_incompatible", "cuda_oom", "cuda_runtime", "release_incompatible")
+
+
 def error_name(code: Column) -> Column:
     """[P40]"""
-    names = {0: "none", 1: "invalid argument", 2: "unsupported", 3: "device", 4: "timeout", 5: "overload"}
-    out = F.lit("unknown")
-    for k, v in names.items():
-        out = F.when(code == k, v).otherwise(out)
-    return out
+    return F.coalesce(F.get(F.array(*[F.lit(e) for e in ERRORS]), code), F.lit("unknown"))
 
 
 def layer_of(name: Column) -> Column:
@@ -72,8 +72,8 @@ def layer_of(name: Column) -> Column:
 
 
 def safe_version(version: Column) -> Column:
-    """[P52] Only letters, digits, dots and dashes; everything else is one dash."""
-    return F.regexp_replace(F.trim(version), r"[^A-Za-z0-9.\-]+", "-")
+    """[P52] Runs of anything but letters, digits, dots, underscores and dashes are one dash; none of these at the ends. Null where nothing is left."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(F.trim(version), r"[^A-Za-z0-9._\-]+", "-"), r"^[.\-_]+|[.\-_]+$", ""), F.lit(""))
 
 
 def redacted(text: Column) -> Column:
@@ -82,9 +82,9 @@ def redacted(text: Column) -> Column:
 
 
 def pressure(used: Column, total: Column) -> Column:
-    """[P48] How full memory is, as the profile to pick."""
-    share = used / total
-    return F.when(share < 0.5, "quality").when(share < 0.8, "hybrid").otherwise("memory")
+    """[P48] How full memory is; `unknown` without numbers."""
+    share = F.try_divide(used, total)
+    return F.when(share > 0.95, "critical").when(share > 0.75, "high").when(share > 0.5, "moderate").when(share.isNotNull(), "low").otherwise("unknown")
 
 
 def checked_add(a: Column, b: Column) -> Column:

@@ -7,8 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Which role may do which operation.
-ROLES = {"router": ("route",), "prefill": ("publish", "transfer"), "decode": ("fetch", "transfer"), "admin": ("route", "publish", "transfer", "fetch", "rotate")}
+#: The roles that may do each operation.
+OPERATIONS = {
+    "register_worker": ("router", "scheduler", "admin"),
+    "publish_manifest": ("prefill", "decode"),
+    "read_page": ("prefill", "decode", "router"),
+    "transfer_lease": ("prefill", "decode", "scheduler"),
+    "route_request": ("router", "scheduler"),
+    "update_policy": ("admin",),
+    "drain_worker": ("admin",),
+    "inspect_usage": ("admin",),
+}
 
 
 def layer_devices(layers: int, devices: DataFrame) -> DataFrame:
@@ -94,7 +103,7 @@ def recovery(manifests: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def role_table(spark) -> DataFrame:
-    return spark.createDataFrame([(r, o) for r, ops in ROLES.items() for o in ops], "role string, operation string")
+    return spark.createDataFrame([(r, o) for o, roles in OPERATIONS.items() for r in roles], "role string, operation string")
 
 
 def authorized(requests: DataFrame, table: DataFrame) -> DataFrame:

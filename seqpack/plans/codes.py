@@ -50,16 +50,22 @@ def mixed_placement(spark, d):
     return B.table(spark, d, "orders").select("o_orderkey", F.pmod(hashes.mix64(F.col("o_orderkey")), F.lit(16)).cast("int").alias("device"))
 
 
-@query("safe_versions", "select p_partkey, regexp_replace(trim(p_type), '[^A-Za-z0-9.\\-]+', '-', 'g') as version from part")
+@query("safe_versions", "select p_partkey, regexp_replace(regexp_replace(trim(p_type || ' (v)'), '[^A-Za-z0-9._\\-]+', '-', 'g'), '^[.\\-_]+|[.\\-_]+$', '', 'g') as version from part")
 def safe_versions(spark, d):
     """[P52] Names that are safe in paths."""
-    return B.table(spark, d, "part").select("p_partkey", hashes.safe_version(F.col("p_type")).alias("version"))
+    return B.table(spark, d, "part").select("p_partkey", hashes.safe_version(F.concat("p_type", F.lit(" (v)"))).alias("version"))
 
 
-@query("pressure_profiles", "select s_suppkey, case when s_acctbal / 10000 < 0.5 then 'quality' when s_acctbal / 10000 < 0.8 then 'hybrid' else 'memory' end as profile from supplier")
+@query("pressure_profiles", "select s_suppkey, case when s_acctbal / 10000 > 0.95 then 'critical' when s_acctbal / 10000 > 0.75 then 'high' when s_acctbal / 10000 > 0.5 then 'moderate' else 'low' end as pressure from supplier")
 def pressure_profiles(spark, d):
-    """[P48] Profiles by memory pressure."""
-    return B.table(spark, d, "supplier").select("s_suppkey", hashes.pressure(F.col("s_acctbal"), F.lit(10000.0)).alias("profile"))
+    """[P48] Buckets of memory pressure."""
+    return B.table(spark, d, "supplier").select("s_suppkey", hashes.pressure(F.col("s_acctbal"), F.lit(10000.0)).alias("pressure"))
+
+
+@query("error_names", "select event_id, coalesce(['none', 'admission_quota', 'admission_overload', 'worker_unavailable', 'transfer_auth', 'transfer_integrity', 'lease_stale', 'checkpoint_incompatible', 'cuda_oom', 'cuda_runtime', 'release_incompatible'][event_id % 13 + 1], 'unknown') as name from events")
+def error_names(spark, d):
+    """[P40] Names of error codes."""
+    return B.table(spark, d, "events").select("event_id", hashes.error_name((F.col("event_id") % 13).cast("int")).alias("name"))
 
 
 @query("layer_names", "select s_suppkey, case when s_suppkey % 3 > 0 then s_suppkey::int end as layer from supplier")

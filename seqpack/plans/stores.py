@@ -225,11 +225,11 @@ def replica_recovery(spark, d):
     return control.recovery(m, B.table(spark, d, "supplier").where("s_acctbal < 0").selectExpr("s_suppkey as worker_id"))
 
 
-ROLE = "case event_type when 'view' then 'router' when 'click' then 'prefill' when 'purchase' then 'decode' when 'signup' then 'admin' else 'guest' end"
-OPERATION = "case event_id % 5 when 0 then 'route' when 1 then 'publish' when 2 then 'transfer' when 3 then 'fetch' else 'rotate' end"
+ROLE = "case event_type when 'view' then 'router' when 'click' then 'prefill' when 'purchase' then 'decode' when 'signup' then 'admin' else 'scheduler' end"
+OPERATION = "case event_id % 9 " + " ".join(f"when {i} then '{o}'" for i, o in enumerate(control.OPERATIONS)) + " else 'unknown' end"
 
 
-@query("authz_matrix", f"with m as (select unnest({[f'{r}/{o}' for r, ops in control.ROLES.items() for o in ops]}) as pair), e as (select {ROLE} as role, {OPERATION} as operation, user_id % 4 as tenant, event_id % 4 as resource_tenant from events) select role, operation, count(*) as n, count_if((role || '/' || operation) in (select pair from m) and (role = 'admin' or tenant = resource_tenant))::bigint as allowed from e group by all")
+@query("authz_matrix", f"with m as (select unnest({[f'{r}/{o}' for o, roles in control.OPERATIONS.items() for r in roles]}) as pair), e as (select {ROLE} as role, {OPERATION} as operation, user_id % 4 as tenant, event_id % 4 as resource_tenant from events) select role, operation, count(*) as n, count_if((role || '/' || operation) in (select pair from m) and (role = 'admin' or tenant = resource_tenant))::bigint as allowed from e group by all")
 def authz_matrix(spark, d):
     """[P39, F12, T15] Which requests a role may make."""
     e = B.table(spark, d, "events").selectExpr(f"{ROLE} as role", f"{OPERATION} as operation", "user_id % 4 as tenant", "event_id % 4 as resource_tenant")
