@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from seqpack.llm import common
 from seqpack.llm.common import U64, mix
 
-Q, RATE, UNIT, SHORTEST = 10, 0.06, 200, 24
+Q, RATE, UNIT, SHORTEST = 10, 0.06, 100, 24
 #: Characters of benchmark text in one block; bits of the table that a q-gram is looked up in first.
 BLOCK, BITS = 4_000_000, 22
+#: Pairs of a text's and the index's equal q-grams that are held at once.
+PAIRS = 1_000_000
 _B = 0x5851F42D4C957F2D
 
 
@@ -100,19 +102,12 @@ class Index:
         where = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
         real = self.hashes[where] == h[near]
         near, where = near[real], where[real]
-        n = self.count[where]
-        entry = np.repeat(self.first[where] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        place, unit = np.repeat(near, n), self.unit[entry]
-        text = np.searchsorted(begin, place, side="right") - 1
-        diagonal, width = place - self.at[entry], self.k[unit] + 1
-        band = np.floor_divide(diagonal, width)
-        for_band = np.concatenate([np.stack([text, unit, band - s], 1) for s in (0, 1)])
-        order = np.lexsort(for_band.T[::-1])
-        s = for_band[order]
-        new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]).any(axis=1)])) if len(s) else np.zeros(0, int)
-        hits = np.diff(np.concatenate([new, [len(s)]]))
+        keys, hits = self._banded(near, where, begin)
+        span, low = 2 * len(c) + 4, len(c) + 2
+        candidates = keys[hits >= self.bound[keys // span % len(self.units)]]
         done = set()
-        for t, u, b in s[new][hits >= self.bound[s[new][:, 1]]].tolist():
+        for key in candidates.tolist():
+            t, u, b = key // span // len(self.units), key // span % len(self.units), key % span - low
             item, pattern = self.units[u]
             if (t, item) not in done:
                 k = int(self.k[u])
@@ -123,6 +118,30 @@ class Index:
                     yield t, item, max(0, b * (k + 1) - int(begin[t])), edits
 
 
+    def _banded(self, near: np.ndarray, where: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shared q-grams counted by text, unit and band, each band as one number; PAIRS at a time, however often a text repeats a q-gram."""
+        n = self.count[where]
+        upto = np.cumsum(n)
+        span, low = 2 * int(begin[-1]) + 4, int(begin[-1]) + 2
+        keys, hits, a = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while a < len(near):
+            z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
+            k = n[a:z]
+            entry = np.repeat(self.first[where[a:z]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            place, unit = np.repeat(near[a:z], k), self.unit[entry]
+            text = np.searchsorted(begin, place, side="right") - 1
+            band = np.floor_divide(place - self.at[entry], self.k[unit] + 1)
+            own = (text * len(self.units) + unit) * span + band + low
+            new, many = np.unique(np.concatenate([own, own - 1]), return_counts=True)
+            if len(keys):
+                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                hits = np.bincount(at, np.concatenate([hits, many]), len(keys)).astype(np.int64)
+            else:
+                keys, hits = new, many
+            a = z
+        return keys, hits
+
+
 def aligned(pattern: np.ndarray, text: np.ndarray, low: int, width: int) -> int:
     """Least edits that turn pattern into some stretch of text, over alignments on the diagonals low to low + width."""
     size, far = width + 1, 1 << 20

@@ -139,7 +139,7 @@ def test_benchmark_items_are_found_with_edits_and_in_part(spark):
         for _ in range(int(len(s) * 0.02)):
             s[r.randrange(len(s))] = "q"
         leaks.append((i, f"{prose(r, 40)}\n{''.join(s).upper()}  {prose(r, 40)}"))
-    part = [(500, prose(r, 30) + " " + items[0][1][:320] + " " + prose(r, 30))]
+    part = [(500, prose(r, 30) + " " + items[0][1][:170] + " " + prose(r, 30))]
     docs = spark.createDataFrame(clean + leaks + part + [(2000, None), (None, "")], "doc_id long, text string")
     out = {x.doc_id: [m.item_id for m in x.matches] for x in decontam.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {d for d, m in out.items() if m} == {*range(30), 500}
@@ -158,7 +158,7 @@ def least_edits(p, t):
 
 def test_the_filter_loses_no_match_within_the_budget():
     r = random.Random(8)
-    item = prose(r, 30)[:150]
+    item = prose(r, 30)[:95]
     index = decontam.Index([(1, item)])
     k = int(index.k[0])
     for _ in range(60):
@@ -184,3 +184,12 @@ def test_blocks_find_the_same(spark, odd_docs, no_docs, monkeypatch, block):
     out = decontam.matches(odd_docs, items, "found")
     assert sorted({r.doc_id for r in out.where("size(found) > 0").collect()}, key=repr) == [1, 2, 3, None] and out.count() == odd_docs.count()
     assert decontam.matches(no_docs, items, "found").count() == 0 and decontam.matches(odd_docs, items.limit(0), "found").where("size(found) > 0").count() == 0
+
+
+def test_runs_of_one_character_are_counted_in_parts(monkeypatch):
+    items = [(1, "-" * 90), (2, "x" * 50 + "-" * 40)]
+    texts = ["-" * 20_000, "a" * 500 + "x" * 50 + "-" * 40 + "b" * 500, "-" * 60 + "q" * 40]
+    whole = sorted(decontam.Index(items).search(texts))
+    monkeypatch.setattr(decontam, "PAIRS", 1000)
+    assert sorted(decontam.Index(items).search(texts)) == whole
+    assert [(t, i) for t, i, *_ in whole] == [(0, 1), (1, 2)]
