@@ -1,7 +1,7 @@
 """Operator 5, URL filters: host and path rules, and gradient-boosted trees on lexical features for the rest.
 
-The rules label the urls that they fit; trees are fitted to at most SAMPLE of these (least hashes first, so the choice does not
-depend on partitioning) and judge every url that no rule fits. Features: lengths, depth, digit ratio, entropy, parameter counts,
+The rules label the urls that they fit; trees are fitted to at most SAMPLE different ones (least hashes first, so the choice does
+not depend on partitioning) and judge every url that no rule fits. Features: lengths, depth, digit ratio, entropy, parameter counts,
 marks of the host, and the share of blocked labels for the host's suffix, smoothed. The trees are grown in numpy on the driver
 from the bounded sample and applied to all rows in Arrow batches.
 
@@ -134,7 +134,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, sampl
     parts = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parts.withColumn("rule", rule).withColumn("by_rule", verdict)
-    chosen = ruled.where("rule is not null").select("url", "host", "path", "by_rule").orderBy(F.xxhash64("url"), "url").limit(sample)
+    chosen = common.least_hashes(ruled.where("rule is not null").select("url", "host", "path", "by_rule").distinct(), "url", sample)
     model = pages.sparkSession.sparkContext.broadcast(train([tuple(r) for r in chosen.collect()]))
 
     @F.pandas_udf("double")
