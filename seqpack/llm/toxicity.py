@@ -133,7 +133,13 @@ class Classifier:
         parameters = zstandard.ZstdCompressionParameters(window_log=12, chain_log=11, hash_log=11, search_log=3, min_match=5, target_length=16, strategy=zstandard.STRATEGY_BTOPT, write_checksum=False, write_content_size=False, write_dict_id=False)
         return [zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(c + PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for c in self.contents]
 
-    def features(self, folded: list[bytes]) -> np.ndarray:
+    def features(self, folded: list[bytes], most: int = 1 << 20) -> np.ndarray:
+        """A row for each text; texts are cut into windows so many bytes at a time."""
+        size = np.cumsum([0, *map(len, folded)])
+        cuts = [0, *np.flatnonzero(size[1:-1] // most > size[:-2] // most) + 1, len(folded)]
+        return np.concatenate([self._features(folded[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    def _features(self, folded: list[bytes]) -> np.ndarray:
         each = [windows(f) for f in folded]
         n = np.array([len(w) for w in each], np.int64)
         flat = [w for ws in each for w in ws]
