@@ -17,6 +17,8 @@ from seqpack.llm import bpe, common, decontam, line_dedup, near_dedup, toxicity
 
 #: Whether a document is left out as toxic: from this score on.
 TOXIC = 0.5
+#: From which similarity on documents are near-duplicates, in hundredths; op2 has a threshold of its own.
+NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each class the row with the least (doc_id, nulls last; text checksum) stays; rows without a word all stay."""
     wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key")).alias("m")
-    keepers = common.cut(near_dedup.near_duplicates(docs).where("class is not null").groupBy("class").agg(least).select("m.*"))
+    keepers = common.cut(near_dedup.near_duplicates(docs, NEAR).where("class is not null").groupBy("class").agg(least).select("m.*"))
     names = [common.free_name(docs, c) for c in ("none", "id", "text_key")]
     keys = docs.where(wordy).withColumns(dict(zip(names, (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")), strict=True)))
     kept = keys.join(keepers.toDF(*names), names, "left_semi").dropDuplicates(names).select(*[f"`{c}`" for c in docs.columns])

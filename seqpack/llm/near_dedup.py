@@ -19,6 +19,7 @@ are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 from seqpack.llm import common
 from seqpack.llm.common import U64, cut, mix
 
-#: A pair at the threshold meets in a bucket but for 4 in 100,000.
+#: A pair at the threshold PERCENT meets in a bucket but for 4 in 100,000.
 SHINGLE, BANDS, ROWS = 5, 32, 8
 COORDINATES = BANDS * ROWS
 PERCENT = 85
+#: Bands and rows for lower thresholds, down to LEAST: there a pair at 80 is missed as seldom.
+LEAST, LOW_BANDS, LOW_ROWS = 80, 34, 6
 #: Sets, and shingles of them, in one block of a family.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_500_000
 _PLACES = mix(np.arange(101, 101 + 64, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -76,10 +79,17 @@ def sketch(elements: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def bucket_keys(values: np.ndarray) -> np.ndarray:
-    bands = values.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=U64) * U64(0xA24BAED4963EE407)
-    for k in range(ROWS):
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows that a threshold takes."""
+    if percent < LEAST:
+        raise ValueError(f"percent below {LEAST}")
+    return (BANDS, ROWS) if percent >= PERCENT else (LOW_BANDS, LOW_ROWS)
+
+
+def bucket_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    bands = values.reshape(-1, rows)
+    key = np.arange(1, len(bands) + 1, dtype=U64) * U64(0xA24BAED4963EE407)
+    for k in range(rows):
         key = mix(key + bands[:, k])
     return key.view(np.int64)
 
@@ -89,11 +99,12 @@ def _name(s: np.ndarray) -> bytes:
     return np.array([mix(s).sum() + U64(len(s)), mix(s ^ U64(0x6A09E667F3BCC909)).sum()], U64).tobytes()
 
 
-def _sketched(batches):
+def _sketched(batches, percent):
+    bands, rows = banding(percent)
     for b in common.slices(batches, "text"):
         sets = shingle_sets(*common.raw(b.column("text")))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([bucket_keys(sketch(s)) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+            [b.column("doc_id"), b.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([bucket_keys(sketch(s, bands * rows), rows) if len(s) else None for s in sets], pa.list_(pa.int64()))],
             ["doc_id", "text_key", "n_shingles", "node", "keys"],
         )
 
@@ -148,15 +159,15 @@ def linked(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent:
     return [top(i) for i in range(len(sets))]
 
 
-def _stars(rows: list[tuple]) -> tuple[list, list]:
+def _stars(rows: list[tuple], percent: int) -> tuple[list, list]:
     """Edges from the least node of each component of a group of rows (node, side, keys, elements)."""
     rows = sorted(rows, key=lambda r: r[0])
-    tops = linked([np.frombuffer(r[3], U64) for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows]))
+    tops = linked([np.frombuffer(r[3], U64) for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), percent)
     pairs = [(rows[t][0], rows[i][0]) for i, t in enumerate(tops) if t != i]
     return [a for a, _ in pairs], [b for _, b in pairs]
 
 
-def _linked(batches):
+def _linked(batches, percent):
     """Rows come sorted by (family, i, j); each such group is one task's block or pair of blocks."""
     group, rows = None, []
     for b in batches:
@@ -164,16 +175,16 @@ def _linked(batches):
         for family, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("family", "i", "j", "node", "side", "keys", "elements")), strict=True):
             if (family, i, j) != group:
                 if len(rows) > 1:
-                    for x, y in zip(out, _stars(rows), strict=True):
+                    for x, y in zip(out, _stars(rows, percent), strict=True):
                         x += y
                 group, rows = (family, i, j), []
             rows.append(row)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["a", "b"])
     if len(rows) > 1:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in _stars(rows)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in _stars(rows, percent)], ["a", "b"])
 
 
-def _verified(families: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) among the members (family, node, n, keys) of each family, by full sets."""
     sized = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("k"))
     placed = families.join(sized, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
@@ -181,16 +192,16 @@ def _verified(families: DataFrame, sets: DataFrame) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int"))
     dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", side.alias("side"), "keys")
     together = dealt.join(sets, "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return together.mapInArrow(_linked, "a binary, b binary")
+    return together.mapInArrow(partial(_linked, percent=percent), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class binary, text_key) for each row of docs (doc_id, text, ...).
 
-    class names the component (null for empty sets): its rows are near-duplicates of one another. text_key is a checksum of the text.
+    class names the component (null for empty sets): its rows are near-duplicates of one another, by links of at least percent. text_key is a checksum of the text.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    seen = cut(keyed.mapInArrow(_sketched, "doc_id long, text_key long, n_shingles long, node binary, keys array<long>"))
+    seen = cut(keyed.mapInArrow(partial(_sketched, percent=percent), "doc_id long, text_key long, n_shingles long, node binary, keys array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n_shingles", "keys")).alias("m")
     nodes = cut(seen.where("node is not null").groupBy("node").agg(first).select("node", "m.doc_id", "m.text_key", F.col("m.n_shingles").alias("n"), "m.keys"))
     members = nodes.select("node", F.explode("keys").alias("key"))
@@ -198,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     families = cut(components(members.join(stars, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("label", "family"))
     gathered = cut(families.join(nodes, "node"))
     sets = cut(_fetch(keyed, gathered.select("node", F.col("doc_id").alias("its"), F.col("text_key").alias("own"))))
-    labels = components(_verified(gathered.select("family", "node", "n", "keys"), sets))
+    labels = components(_verified(gathered.select("family", "node", "n", "keys"), sets, percent))
     classes = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("class"))
     least_id = cut(classes.groupBy("class").agg(F.min("doc_id").alias("component_id")))
     classes = cut(classes.join(least_id, "class").select("node", "class", "component_id"))

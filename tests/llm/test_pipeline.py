@@ -94,3 +94,14 @@ def test_all_stages_in_a_row(spark, docs):
     whole = corpus_pipeline.run(spark, DATA)
     assert sorted(r.doc_id for r in whole.select("doc_id").collect()) == sorted(r.doc_id for r in step.select("doc_id").collect())
     assert whole.where(F.col("n_tokens") != F.size("ids")).count() == 0
+
+
+def test_copies_alike_by_80_to_85_hundredths_go(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(8))
+    base = [[word() for _ in range(104)] for _ in range(20)]
+    # 100 shingles each; n changed words at the end change n of them: 90 of 110 (82), 88 of 112 (79)
+    rows = [(10 * i + k, " ".join(w[: 104 - n] + [word() for _ in range(n)])) for i, w in enumerate(base) for k, n in enumerate((0, 10, 12 if i % 2 else 0))]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string")
+    got = {x.doc_id for x in STAGES["near_dedup"](spark, df, DATA).collect()}
+    assert got == {10 * i for i in range(20)} | {10 * i + 2 for i in range(1, 20, 2)}
