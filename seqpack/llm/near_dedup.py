@@ -60,14 +60,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
 
 
 def sketch(elements: np.ndarray, t: int = COORDINATES) -> np.ndarray:
-    """The fast similarity sketch of a non-empty set: t values, the round in the top byte."""
-    out, low, done, n = np.full(t, np.iinfo(U64).max, U64), U64((1 << 56) - 1), 0, len(elements)
+    """The fast similarity sketch of a non-empty set: t values, the round in the top ten bits: up to 512 coordinates, no later round is less than an earlier one."""
+    out, low, done, n = np.full(t, np.iinfo(U64).max, U64), U64((1 << 54) - 1), 0, len(elements)
     while done < 2 * t:
         rounds = np.arange(done, min(2 * t, done + max(1, math.ceil(1.3 * t * math.log(t) / n))), dtype=U64)
         if done < t:
             rounds = rounds[rounds < t]
         thrown = mix(elements[None, :] ^ mix((rounds + U64(1)) * U64(0xD1342543DE82EF95))[:, None])
-        value = (thrown & low) | (rounds << U64(56))[:, None]
+        value = (thrown & low) | (rounds << U64(54))[:, None]
         if done < t:
             np.minimum.at(out, ((thrown >> U64(40)) * U64(t) >> U64(24)).astype(np.intp).ravel(), value.ravel())
         else:

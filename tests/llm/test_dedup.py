@@ -125,6 +125,15 @@ def test_sketches_fill_and_agree_like_jaccard():
         assert near_dedup.sketch(u[:n]).max() < np.iinfo(np.uint64).max
 
 
+def test_later_rounds_do_not_displace_earlier_ones():
+    g = np.random.default_rng(2)
+    agree = []
+    for _ in range(1500):
+        u = g.integers(0, 2**63, 7).astype(np.uint64)
+        agree.append((near_dedup.sketch(u) == near_dedup.sketch(u[:6])).mean())
+    assert abs(np.mean(agree) - 6 / 7) < 0.01
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     out = near_dedup.near_duplicates(odd_docs).collect()
     assert len(out) == odd_docs.count()
