@@ -1,16 +1,18 @@
 """Operator 9, benchmark decontamination by q-gram lemma filtering.
 
 Texts are folded (lower case, white space runs as one blank). An item is sought as units: whole up to UNIT characters, else in
-windows of that length that overlap by half, so that a passage of an item is found as well. A unit of m characters may differ by
+windows of that length that begin every STRIDE characters, so that a passage of an item is found as well: each of
+UNIT + STRIDE - 1 characters or more, and shorter ones that hold a window. A unit of m characters may differ by
 k = RATE * m edits; a match then shares at least m - Q + 1 - k * Q q-grams with the text, on diagonals at most k apart. Shared
 q-grams are counted in bands of diagonals twice as wide that overlap by half; bands that reach the bound are verified by an
-alignment within the band, with free ends in the text.
+alignment within the band, with free ends in the text. Items of fewer than SHORTEST characters are sought exactly, where no
+letter or digit goes on at either end.
 
 The benchmark is indexed in blocks of bounded size, one broadcast and one pass over the documents for each block, so that
 nothing broadcast grows with it.
 
-Defined results: null or empty texts are clean. Items that have fewer than SHORTEST characters after folding, or a null text,
-are never sought: strings so short stand in clean texts. Rows that repeat a doc_id are judged each by its own text. An item that
+Defined results: null or empty texts are clean. Items that have no character after folding, or a null text, are not sought. An
+item of one common word marks every text that has the word. Rows that repeat a doc_id are judged each by its own text. An item that
 is there twice counts once for each item_id. Empty tables: no documents give no rows, no items leave every document clean.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from seqpack.llm import common
 from seqpack.llm.common import U64, mix
 
-Q, RATE, UNIT, SHORTEST = 10, 0.06, 100, 24
+Q, RATE, UNIT, STRIDE, SHORTEST = 10, 0.06, 100, 10, 24
 #: Characters of benchmark text in one block; bits of the table that a q-gram is looked up in first.
 BLOCK, BITS = 4_000_000, 22
 #: Pairs of a text's and the index's equal q-grams that are held at once.
@@ -68,13 +70,20 @@ def units(items: list[tuple[int, str]]) -> list[tuple[int, str]]:
     for item, text in items:
         s = fold(text)
         if len(s) >= SHORTEST:
-            begins = range(0, len(s) - UNIT, UNIT // 2) if len(s) > UNIT else ()
+            begins = range(0, len(s) - UNIT, STRIDE) if len(s) > UNIT else ()
             out += [(item, s[a : a + UNIT]) for a in begins] + [(item, s[max(0, len(s) - UNIT) :])]
     return out
 
 
+def bounds(c: np.ndarray) -> np.ndarray:
+    """Before which of the characters, and at the end, no letter or digit goes on (n + 1)."""
+    each, of = np.unique(c, return_inverse=True)
+    inside = np.array([chr(x).isalnum() for x in each.tolist()], bool)[of]
+    return ~(np.concatenate([[False], inside]) & np.concatenate([inside, [False]]))
+
+
 class Index:
-    """The q-grams of the units of one block."""
+    """The q-grams of the units of one block, and its short items by length."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.units = [(item, codes(s)) for item, s in units(items)]
@@ -89,12 +98,18 @@ class Index:
         self.hashes, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << BITS, bool)
         self.table[(self.hashes >> U64(64 - BITS)).astype(np.intp)] = True
+        self.short: dict[int, dict[str, set[int]]] = {}
+        for item, s in ((item, fold(text)) for item, text in items):
+            if 0 < len(s) < SHORTEST:
+                self.short.setdefault(len(s), {}).setdefault(s, set()).add(item)
+        self.short_hashes = {q: np.array([grams(codes(s), q)[0] for s in strings], U64) for q, strings in self.short.items()}
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, begin, edits) of matches; begin counts characters of the folded text."""
         lengths = np.array([len(t) + 1 for t in texts], np.int64)
         begin = np.concatenate([[0], np.cumsum(lengths)])
         c = codes("\0".join(texts) + "\0")
+        yield from self._exact(c, begin)
         h = grams(c)
         near = np.flatnonzero(self.table[(h >> U64(64 - BITS)).astype(np.intp)])
         if not len(near) or not len(self.hashes):
@@ -117,6 +132,20 @@ class Index:
                     done.add((t, item))
                     yield t, item, max(0, b * (k + 1) - int(begin[t])), edits
 
+    def _exact(self, c: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """The first place of each short item in each text."""
+        if not self.short:
+            return
+        free, done = bounds(c), set()
+        for q, strings in self.short.items():
+            h = grams(c, q)
+            at = np.flatnonzero(free[: len(h)] & free[q : q + len(h)])
+            at = at[np.isin(h[at], self.short_hashes[q])]
+            for p, t in zip(at.tolist(), (np.searchsorted(begin, at, side="right") - 1).tolist(), strict=True):
+                for item in strings.get(c[p : p + q].tobytes().decode("utf-32-le", "surrogatepass"), ()):
+                    if (t, item) not in done:
+                        done.add((t, item))
+                        yield t, item, p - int(begin[t]), 0
 
     def _banded(self, near: np.ndarray, where: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shared q-grams counted by text, unit and band, each band as one number; PAIRS at a time, however often a text repeats a q-gram."""
@@ -162,7 +191,7 @@ def aligned(pattern: np.ndarray, text: np.ndarray, low: int, width: int) -> int:
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = -(-2 * (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK) or 1
+    n = -(-(UNIT // STRIDE) * (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK) or 1
     for block in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else items
         yield Index([tuple(r) for r in part.collect()])

@@ -177,6 +177,21 @@ def test_the_filter_loses_no_match_within_the_budget():
         assert bool(found) == (edits <= k) and (not found or found[0][3] == edits)
 
 
+def test_every_fragment_of_109_characters_is_found():
+    r = random.Random(10)
+    item = prose(r, 90)[:233]
+    index = decontam.Index([(1, item)])
+    size = decontam.UNIT + decontam.STRIDE - 1
+    texts = [decontam.fold(f"{'#' * 30} {item[a : a + size]} {'#' * 30}") for a in range(len(item) - size + 1)]
+    assert size == 109 and {t for t, *_ in index.search(texts)} == {*range(len(texts))}
+
+
+def test_short_items_are_found_exactly_between_words():
+    index = decontam.Index([(1, "Rome"), (2, "rome"), (3, "42 \n is it"), (4, "?"), (5, ""), (None, "x y z")])
+    texts = [decontam.fold(x) for x in ("to ROME.", "romeo", "chrome", "", "(42 is it)", "142 is it", "why?", "x y zz", "x y z", "Rome Rome")]
+    assert sorted((t, i or 0, b, e) for t, i, b, e in index.search(texts)) == [(0, 1, 3, 0), (0, 2, 3, 0), (4, 3, 1, 0), (6, 4, 3, 0), (8, 0, 0, 0), (9, 1, 0, 0), (9, 2, 0, 0)]
+
+
 @pytest.mark.parametrize("block", [4_000_000, 300])
 def test_blocks_find_the_same(spark, odd_docs, no_docs, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK", block)
