@@ -1,17 +1,21 @@
 """Operator 6, nearest neighbours by a block matrix join.
 
 Vectors are packed into tiles: rows of one dimension, scaled to int8 with a scale for each vector. A query tile times a row tile
-is one integer matrix product; it gives each distance up to a bound that follows from the two rounding errors. In a tile pair
-only rows whose least possible distance is within the k-th least possible upper distance of the query survive; they are computed
-again in double precision, and a heap of the k best for each query is carried from tile to tile of a task. Tasks' heaps are then
-merged. Nothing is approximate in the result: survivors contain every true neighbour.
+is one integer matrix product; it gives each distance up to a bound that follows from the two quantisation errors and from the
+rounding of what is computed in double precision. In a tile pair every row stays whose least possible distance is within the k-th
+least possible upper distance of the query; those rows are computed again in double precision, and a heap of the k best for each
+query is carried through a task. Tasks' heaps are then merged. No true neighbour is lost: bounds grow with the vectors' lengths,
+tiles are scaled by a power of two so that nothing overflows, and what cannot be compared (NaN) stays.
 
-Queries grow with the table, so they are never broadcast: query tiles are copied to the row tiles' groups, and a task meets one
-pair of tiles at a time.
+Queries grow with the table, so they are never broadcast: a group of rows is shuffled once and stays where it is, tiles of queries
+are copied to the groups, and a task meets one of them at a time.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite components take no part; vectors of another
-dimension than a query's are not compared with it. Equal distances: smaller vec_id first. Rows that repeat a vec_id are
-candidates each; all rows with the query's id are left out, and one of them asks. Rows with null vec_id take no part. With fewer than k candidates all are returned; an empty table gives no rows.
+dimension than a query's are not compared with it. Distances of vectors whose squares leave the range of doubles are computed on
+scaled vectors, so they are finite wherever the distance itself is. Equal distances: smaller vec_id first. Rows that repeat a
+vec_id are candidates each; all rows with the query's id are left out, and one of them asks. Rows with null vec_id take no part.
+With fewer than k candidates all are returned; an empty table gives no rows. Long vectors: a tile holds fewer of them, one at
+least. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,15 +36,31 @@ K, EVERY = 10, 100
 QUERY_TILE, ROW_GROUP, QUERIES, ROWS = 1 << 18, 1 << 21, 256, 2048
 
 
+#: Beyond two to this power, or below its inverse, vectors are scaled before anything is squared; slack for what underflows then.
+FAR, EPS, LEAST = 400, np.finfo(np.float64).eps, 2.0**-1060
+
+
+def exponent(*arrays: np.ndarray) -> int:
+    """The power of two that the largest component of all arrays is below, or 0 in the range where squares are safe."""
+    e = int(np.frexp(max(np.abs(a).max(initial=0.0) for a in arrays))[1])
+    return e if abs(e) > FAR else 0
+
+
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scales, and the Euclidean norms of what rounding took away."""
+    """int8 codes, scales, and upper bounds of the Euclidean norms of what rounding took away."""
     scale = np.abs(x).max(axis=1) / 127
-    codes = np.rint(x / scale[:, None])
-    return codes.astype(np.int8), scale, np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
+    codes = np.rint(x / np.where(scale > 1e-290, scale, np.inf)[:, None])
+    left, size = np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
+    return codes.astype(np.int8), scale, left + EPS * (8 + x.shape[1]) * (left + size) + 2.0**-530
 
 
 def distances(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Squares are summed from the first component to the last, so that equal vectors have equal distances in any tile."""
+    e = np.frexp(np.maximum(np.abs(rows).max(axis=1), np.abs(query).max()))[1]
+    e = np.where(np.abs(e) > FAR, e + 1, 0)
+    if e.any():
+        gap = np.ldexp(rows, -e[:, None]) - np.ldexp(query, -e[:, None])
+        return np.ldexp(np.sqrt(np.cumsum(gap * gap, axis=1)[:, -1]), e)
     gap = rows - query
     return np.sqrt(np.cumsum(gap * gap, axis=1)[:, -1])
 
@@ -48,14 +68,18 @@ def distances(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def survivors(q: tuple, r: tuple, k: int, best: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Which pairs of a tile can still be among a query's k best. best: each query's k-th distance so far; own: pairs to leave out."""
     (qc, qs, qe), (rc, rs, re) = q, r
-    exact = np.float32 if qc.shape[1] <= 1024 else np.float64  # whole numbers below 2**24 or 2**53
-    product = qc.astype(exact) @ rc.astype(exact).T
+    dim = qc.shape[1]
+    exact = np.float32 if dim <= 1024 else np.float64  # whole numbers below 2**24 or 2**53
+    product = (qc.astype(exact) @ rc.astype(exact).T).astype(np.float64)
     qn, rn = (qc.astype(np.int64) ** 2).sum(axis=1) * qs**2, (rc.astype(np.int64) ** 2).sum(axis=1) * rs**2
-    about = np.sqrt(np.maximum(qn[:, None] + rn[None, :] - 2 * product.astype(np.float64) * (qs[:, None] * rs[None, :]), 0))
-    error = qe[:, None] + re[None, :] + 1e-6 * (1 + about)
-    upper = np.where(own, np.inf, about + error)
+    both = qn[:, None] + rn[None, :]
+    about, slack = both - 2 * product * (qs[:, None] * rs[None, :]), 32 * EPS * both + LEAST
+    error, near = qe[:, None] + re[None, :], EPS * (dim + 16)  # near: what rounding does to a distance that is computed again
+    upper = (np.sqrt(np.maximum(about, 0) + slack) + error) * (1 + near)
+    upper = np.where(own | np.isnan(upper), np.inf, upper)
+    lower = (np.sqrt(np.maximum(about - slack, 0)) - error) * (1 - near)
     limit = np.minimum(best, np.partition(upper, k - 1, axis=1)[:, k - 1]) if upper.shape[1] >= k else best
-    return (about - error <= limit[:, None]) & ~own
+    return ~(lower > (limit * (1 + 8 * EPS) + LEAST)[:, None]) & ~own
 
 
 def _sound(vectors: DataFrame) -> DataFrame:
@@ -86,11 +110,12 @@ def _matched(k: int):
                 ids, vectors = group.values.field("vec_id").to_numpy(), _matrix(group.values)
                 heaps: list[list] = [[] for _ in q_ids]
                 for at in range(0, len(ids), ROWS):
-                    here, coded = slice(at, at + ROWS), quantised(vectors[at : at + ROWS])
+                    here = slice(at, at + ROWS)
                     for first in range(0, len(q_ids), QUERIES):
                         some = np.arange(first, min(len(q_ids), first + QUERIES))
-                        best = np.array([-heaps[i][0][0] if len(heaps[i]) == k else np.inf for i in some])
-                        left = survivors(quantised(queries[some]), coded, k, best, q_ids[some][:, None] == ids[None, here])
+                        e = exponent(queries[some], vectors[here])
+                        best = np.ldexp(np.array([-heaps[i][0][0] if len(heaps[i]) == k else np.inf for i in some]), -e)
+                        left = survivors(quantised(np.ldexp(queries[some], -e)), quantised(np.ldexp(vectors[here], -e)), k, best, q_ids[some][:, None] == ids[None, here])
                         for i in np.flatnonzero(left.any(axis=1)):
                             rows = at + np.flatnonzero(left[i])
                             _merged(heaps[first + i], distances(queries[first + i], vectors[rows]), ids[rows], k)
@@ -115,10 +140,10 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     packed = lambda name: F.collect_list(F.struct("vec_id", "v")).alias(name)
     rows = sound.join(F.broadcast(sizes), "dim").withColumn("group", F.pmod(F.xxhash64("vec_id", "v"), F.col("groups")).cast("int"))
-    rows = rows.groupBy("dim", "group", "tiles").agg(packed("rows")).select("dim", "group", upto("tiles").alias("tile"), "rows")
+    rows = rows.groupBy("dim", "group").agg(packed("rows"))
     asked = sound.where(asks).dropDuplicates(["vec_id"]).join(F.broadcast(sizes), "dim").withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
-    asked = asked.groupBy("dim", "tile", "groups").agg(packed("asked")).select("dim", "tile", upto("groups").alias("group"), "asked")
-    found = rows.join(asked, ["dim", "tile", "group"]).select("asked", "rows").mapInArrow(_matched(k), "query_id long, vec_id long, score double")
+    asked = asked.groupBy("dim", "tile", "groups").agg(packed("asked")).select("dim", upto("groups").alias("group"), "asked")
+    found = asked.join(rows.hint("merge"), ["dim", "group"]).select("asked", "rows").mapInArrow(_matched(k), "query_id long, vec_id long, score double")
     place = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.select("query_id", F.row_number().over(place).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,35 +39,50 @@ def least_hashes(df: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder named in spark.checkpoint.dir. Where the session names none, a temporary one in local mode, as in tests; a cluster has to name a shared one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="seqpack-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-_made: list[str] = []
+class _Made(threading.local):
+    """The tables that a thread has written, oldest first."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    The table goes when sweep() is called or, at the latest, when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqpack-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _made.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    return len(_made)
+    return len(_made.paths)
 
 
 def sweep(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables that cut() has written from mark since on; call it once nothing reads them any more."""
+    """Delete the tables that cut() has written in this thread from mark since on; call it once nothing reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_made) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    while len(_made.paths) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_made.paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -96,30 +114,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * _GOLD)
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_BASE = 0x5851F42D4C957F2D
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers = {_BASE: np.ones(1, U64), _BASE_INV: np.ones(1, U64)}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        p = np.full(max(n, 2 << 20), U64(base), U64)
-        p[0] = 1
-        _powers[base] = np.cumprod(p, dtype=U64)
-    return _powers[base][:n]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes of a span that are hashed for all spans at once; the few longer ones are hashed one by one.
+_SHORT = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]], by differences of one running polynomial sum; fold ignores the case of A-Z."""
-    n = len(data)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((_BYTE_FOLDED if fold else _BYTE)[data] * _power(_BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_BASE_INV, n + 1)[starts] + (ends - starts).astype(U64) * _GOLD)
+    """64-bit hashes of data[starts[i]:ends[i]], eight bytes mixed in at a time; fold ignores the case of A-Z."""
+    padded = np.concatenate([_LOWER[data] if fold else data, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    size = ends - starts
+    out = mix(size.astype(U64) * _GOLD + U64(1))
+    live = np.arange(len(size))
+    for at in range(0, _SHORT, 8):
+        live = live[size[live] > at] if at else live[size[live] > 0]
+        if not len(live):
+            return out
+        block = eights[starts[live] + at].view("<u8")[:, 0] & _MASKS[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] ^ block * _GOLD)
+    for i in live[size[live] > _SHORT].tolist():
+        out[i : i + 1] = mix(out[i : i + 1] ^ U64(xxhash.xxh3_64_intdigest(padded[starts[i] + _SHORT : ends[i]])))
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,3 +151,37 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def loaded(known: Any) -> Any:
+    """A broadcast's value, not kept: many broadcasts are met one after the other, and one at a time is held. Workers read it from their file."""
+    value = known.value
+    if getattr(known, "_path", None):
+        known.__dict__.pop("_value", None)
+    return value
+
+
+def blockwise(batches: Iterator[pa.RecordBatch], column: str, blocks: list[Any], make: Callable[[Any], Any], limit: int = 1 << 20, most: int = 32 << 20) -> Iterator[tuple[list[pa.RecordBatch], Iterator[tuple[int, Any]]]]:
+    """Groups of slices, each with all blocks in order as make(value): one block is in memory at a time, and is met by texts of most bytes before the next.
+
+    A single block is made once for a worker's task, and slices come one by one.
+    """
+    if len(blocks) == 1:
+        only = [(0, make(loaded(blocks[0])))]
+        for b in slices(batches, column, limit):
+            yield [b], iter(only)
+        return
+
+    def each():
+        for k, block in enumerate(blocks):
+            yield k, make(loaded(block))
+
+    waiting, size = [], 0
+    for b in slices(batches, column, limit):
+        waiting.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield waiting, each()
+            waiting, size = [], 0
+    if waiting:
+        yield waiting, each()

@@ -20,7 +20,7 @@ def brute(rows, k=ann.K):
     return out
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e-3])
+@pytest.mark.parametrize("scale", [1e-300, 1e-160, 1e-3, 1.0, 1e3, 1e12, 1e160, 1e300])
 def test_neighbours_are_those_of_a_loop(spark, scale):
     g = np.random.default_rng(1)
     x = g.normal(size=(700, 16)) * scale
@@ -36,6 +36,31 @@ def test_neighbours_are_those_of_a_loop(spark, scale):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e8, 1e160])
+def test_neighbours_of_sign_vectors(spark, scale):
+    """Quantisation errs by nothing here, and distances are small beside the vectors' lengths."""
+    g = np.random.default_rng(3)
+    x = np.sign(g.normal(size=(200, 16))) * scale
+    x[1::2] = x[::2] * (1 + 1e-9 * g.normal(size=(100, 16)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(v) for q, v in got.items()} == brute(rows)
+    assert all(np.isfinite(d) and d > 0 for v in got.values() for _, _, d in v)
+
+
+def test_lengths_of_all_sizes_in_one_tile(spark):
+    g = np.random.default_rng(4)
+    x = g.normal(size=(300, 8)) * 10.0 ** g.integers(-300, 300, size=(300, 1))
+    x[101:110] = x[100] * (1 + 1e-12 * g.normal(size=(9, 8)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(v) for q, v in got.items()} == brute(rows)
+
+
 def test_the_error_bound_holds():
     g = np.random.default_rng(2)
     q, r = g.normal(size=(20, 32)), g.normal(size=(300, 32))
