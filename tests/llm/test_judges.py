@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,23 +78,89 @@ def test_languages_held_out(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
-def test_language_probabilities_sum_to_one():
+class PlainKneserNey:
+    """Interpolated Kneser-Ney of order 4 over dictionaries, one n-gram at a time."""
+
+    def __init__(self, texts):
+        self.n = {4: Counter(g for t in texts for g in self.grams(t))}
+        for k in (3, 2, 1):
+            self.n[k] = Counter(g[1:] for g in self.n[k + 1])
+        self.d, self.total, self.kinds = {}, {}, {}
+        for k, n in self.n.items():
+            once, twice = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
+            self.d[k] = max(0.1, once / (once + 2 * twice)) if once else 0.1
+            self.total[k], self.kinds[k] = Counter(), Counter()
+            for g, v in n.items():
+                self.total[k][g[:-1]] += v
+                self.kinds[k][g[:-1]] += 1
+
+    @staticmethod
+    def grams(text):
+        s = ["", *"".join(c.lower() if c.isalpha() else " " for c in f" {text} ").split(" ")]
+        s = " " + "".join(w + " " for w in s if w)
+        s = s if s.strip() else "  "
+        return [("   " + s)[i - 3 + 3 : i + 4] for i in range(1, len(s))]
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / 0x110000
+        lower, context = self.p(gram[1:]), gram[:-1]
+        if context not in self.total[k]:
+            return lower
+        return max(0, self.n[k][gram] - self.d[k]) / self.total[k][context] + self.d[k] * self.kinds[k][context] / self.total[k][context] * lower
+
+    def mean(self, text):
+        return float(np.mean([math.log(self.p(g)) for g in self.grams(text)]))
+
+
+def test_models_are_those_of_plain_dictionaries():
     r = random.Random(1)
-    each = {}
-    for lang, letters in (("aa", "abcde "), ("bb", "defgh ")):
-        codes, _, _ = langid.scored_codes(["".join(r.choice(letters) for _ in range(500)) for _ in range(5)])
-        each[lang] = np.unique(codes, return_counts=True)
-    m = langid.Model(each)
-    contexts = [int(c) >> langid.BITS for c in m.codes[-1][:50]] + [0, 12345, 2**17]
-    for c in contexts:
-        assert np.allclose(np.exp(m.score(np.arange(langid.CLASSES) + (c << langid.BITS))).sum(axis=0), 1)
-    assert m.predict(["abcabc", "fghfgh", "", "12 !"])[0] == ["aa", "bb", "und", "und"]
+    texts = ["".join(r.choice("abcde fghé日ж, ") for _ in range(r.randint(0, 300))) for _ in range(12)]
+    found = langid.Grams(texts)
+    model, plain = langid.Model(found.grams, found.counts()), PlainKneserNey(texts)
+    asked = [*texts[:4], "abc def", "zzz xyz", "日日日", "", "x", "12 !"]
+    got, letters = langid.means({"x": model}, asked)
+    assert np.allclose(got[:, 0], [plain.mean(t) for t in asked], rtol=1e-5)
+    assert letters.tolist()[-4:] == [True, False, True, False]
+
+
+def test_any_script_keeps_its_letters(monkeypatch):
+    """No two letters are taken for one, and numbering by table or by sorting is the same."""
+    texts = ["".join(map(chr, range(0x4E00, 0x4E00 + 3000))), "the cat", "ᚠᚢᚦ \U00010400"]
+    one = langid.Grams(texts)
+    assert len(np.unique(one.grams)) > 3000
+    monkeypatch.setattr(langid, "TABLE", 0)
+    for t in (texts, texts[1:]):
+        a = langid.Grams(t)
+        monkeypatch.setattr(langid, "TABLE", 1 << 25)
+        b = langid.Grams(t)
+        monkeypatch.setattr(langid, "TABLE", 0)
+        assert (a.grams[a.at] == b.grams[b.at]).all() and (a.begin == b.begin).all()
 
 
 def test_texts_do_not_see_each_other():
-    alone = langid.scored_codes(["the cat"])[0].tolist()
-    codes, begin, letters = langid.scored_codes(["dog!", "the cat", "", "x"])
-    assert codes[begin[1] : begin[2]].tolist() == alone and letters.tolist() == [True, True, False, True]
+    alone = langid.Grams(["the cat"])
+    all_ = langid.Grams(["dog!", "the cat", "", "x"])
+    assert all_.grams[all_.at][all_.begin[1] : all_.begin[2]].tolist() == alone.grams[alone.at].tolist() and all_.letters.tolist() == [True, True, False, True]
+
+
+def test_blocks_of_languages_give_the_same(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(i, "".join(r.choice(f"abcdefgh {chr(200 + i % 7)}") for _ in range(80)), f"l{i % 7}", "s") for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    one = sorted(map(tuple, langid.identify(docs, docs).collect()))
+    monkeypatch.setattr(langid, "BLOCK", 1)
+    assert sorted(map(tuple, langid.identify(docs, docs).collect())) == one
+    assert np.mean([x[1] == f"l{x[0] % 7}" for x in one]) > 0.9
+
+
+def test_rejection_is_calibrated(spark):
+    """Of the learned languages few texts are rejected, of a language that was not learned most."""
+    docs = read(spark, "documents")
+    out = langid.identify(docs, docs.where("lang <> 'de'")).join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'")
+    share = {r.known: r.share for r in out.groupBy((F.col("lang") != "de").alias("known")).agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+    assert share[True] < 0.1 and share[False] > 0.5, share
 
 
 def test_languages_of_odd_rows(odd_docs, no_docs):
