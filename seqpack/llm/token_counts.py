@@ -3,14 +3,16 @@
 Texts are split at white space into pre-tokens (led by the word-begin mark of the vocabulary); the distinct ones of a batch are
 inserted in a trie. A node holds the best unigram score of its prefix and that path's number of tokens, computed once from the
 nodes above it whatever number of pre-tokens share the prefix; the pre-token's count is read at its terminal node. The trie lives
-on in the worker and is dropped when it has NODES nodes.
+on in the worker and is dropped when it has NODES nodes. A pre-token of more than LONG characters is not inserted: the same pass
+runs over it with the last positions alone in memory, so that a text without blanks takes no trie.
 
 Vocabulary and scores: the pieces of a public tokenizer; a piece's score is -ln(rank + 1) - COST by its rank (Zipf), a character
 that no piece covers counts as its UTF-8 bytes, each with the score of the rarest piece. Of equally good paths the one with
 fewer tokens counts.
 
 Defined results: null and empty texts and white space alone have 0 tokens and 0 pre-tokens. Repeated rows keep a row each; a
-null doc_id stays null; an empty table gives no rows.
+null doc_id stays null; an empty table gives no rows. Very long texts are counted whole. Extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from seqpack.llm import common
 
-MARK, COST, NODES = "▁", 1.0, 400_000
+MARK, COST, NODES, LONG = "▁", 1.0, 400_000, 100
 
 
 def default_path() -> str:
@@ -54,6 +56,7 @@ class Counter:
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node.setdefault(None, -math.log(rank + 1) - COST)
+        self.longest = max(map(len, vocabulary), default=1)
         self.rarest = -math.log(len(vocabulary) + 1) - COST
         self.forget()
 
@@ -63,6 +66,8 @@ class Counter:
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token; nodes that are there already are only passed."""
+        if len(word) > LONG:
+            return self._rolled(word)
         found = self.counts.get(word)
         if found is None:
             if self.nodes >= NODES:
@@ -80,17 +85,28 @@ class Counter:
             path.append(node[None])
         return -path[-1][1]
 
-    def _forward(self, word: str, end: int, path: list[tuple[float, int]]) -> tuple[float, int]:
-        """The best (score, -tokens) of word[:end], of the pieces that end there."""
+    def _rolled(self, word: str) -> int:
+        """The same pass with the best of the last positions alone."""
+        word, path, base = MARK + word, [(0.0, 0)], 0
+        for end in range(1, len(word) + 1):
+            path.append(self._forward(word, end, path, base))
+            if len(path) > 8 * self.longest:
+                done = len(path) - self.longest
+                del path[:done]
+                base += done
+        return -path[-1][1]
+
+    def _forward(self, word: str, end: int, path: list[tuple[float, int]], base: int = 0) -> tuple[float, int]:
+        """The best (score, -tokens) of word[:end], of the pieces that end there; path begins at position base."""
         size = len(word[end - 1].encode("utf-8", "surrogatepass"))
-        score, tokens = path[end - 1]
+        score, tokens = path[end - 1 - base]
         best, node = (score + size * self.rarest, tokens - size), self.ends
         for start in range(end - 1, -1, -1):
             node = node.get(word[start])
             if node is None:
                 break
             if None in node:
-                score, tokens = path[start]
+                score, tokens = path[start - base]
                 best = max(best, (score + node[None], tokens - 1))
         return best
 

@@ -100,6 +100,16 @@ def test_counts_are_those_of_a_plain_pass(counter):
     assert [counter.count(w) for w in words] == [plain_count(w, scores, counter.rarest) for w in words]
 
 
+def test_long_words_take_no_trie(counter, monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choice("aehinorst日") for _ in range(n)) for n in (101, 300, 5000)]
+    counter.forget()
+    rolled = [counter.count(w) for w in words]
+    assert counter.nodes == 1
+    monkeypatch.setattr(token_counts, "LONG", 10_000)
+    assert rolled == [counter.count(w) for w in words]
+
+
 def test_a_shared_prefix_is_computed_once(counter):
     counter.forget()
     counter.count("internation")
