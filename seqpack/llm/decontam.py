@@ -8,12 +8,13 @@ q-grams are counted in bands of diagonals twice as wide that overlap by half; ba
 alignment within the band, with free ends in the text. Items of fewer than SHORTEST characters are sought exactly, where no
 letter or digit goes on at either end.
 
-The benchmark is indexed in blocks of bounded size, one broadcast and one pass over the documents for each block, so that
-nothing broadcast grows with it.
+The benchmark is dealt into blocks of bounded size; a block's items are broadcast and indexed where they are used. A task holds one
+index at a time: with several blocks it gathers some texts, then meets them block by block, all in one pass over the documents.
 
 Defined results: null or empty texts are clean. Items that have no character after folding, or a null text, are not sought. An
 item of one common word marks every text that has the word. Rows that repeat a doc_id are judged each by its own text. An item that
-is there twice counts once for each item_id. Empty tables: no documents give no rows, no items leave every document clean.
+is there twice counts once for each item_id. Very long texts are searched whole. Extra columns pass through; the column of matches
+gets another name where it is taken. Empty tables: no documents give no rows, no items leave every document clean.
 """
 
 from __future__ import annotations
@@ -189,33 +190,38 @@ def aligned(pattern: np.ndarray, text: np.ndarray, low: int, width: int) -> int:
     return int(row.min())
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Index]:
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items (item_id, text) of each block; one block at a time comes to the driver."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     n = -(-(UNIT // STRIDE) * (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK) or 1
     for block in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else items
-        yield Index([tuple(r) for r in part.collect()])
+        yield [tuple(r) for r in part.collect()]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, name: str = "matches", text: bool = True) -> DataFrame:
     """docs with an array of (item_id, begin, edits), one for each item of which a unit stands in the text; without its text on request.
 
-    One pass over the documents for each block, and no shuffle.
+    One pass over the documents, and no shuffle. name is lengthened where docs has such a column.
     """
     kind = "array<struct<item_id:long,begin:long,edits:int>>"
     to = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("edits", pa.int32())]))
+    name = common.free_name(docs, name)
+    sought = [docs.sparkSession.sparkContext.broadcast(items) for items in blocks(benchmark)]
     out = docs.withColumn(name, F.array().cast(kind))
-    for built in blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(built)
 
-        def run(batches, index=index):
-            for b in common.slices(batches, "text", 1 << 20):
-                found = [{x["item_id"]: x for x in old} for old in b.column(name).to_pylist()]
-                for t, item, begin, edits in index.value.search([fold(x) for x in b.column("text").to_pylist()]):
-                    found[t].setdefault(item, {"item_id": item, "begin": begin, "edits": edits})
-                yield b.set_column(b.schema.get_field_index(name), pa.field(name, to), pa.array([sorted(x.values(), key=lambda y: (y["item_id"] is None, y["item_id"])) for x in found], to))
-
-        out = out.mapInArrow(run, out.schema)
+    def run(batches):
+        for group, each in common.blockwise(batches, "text", sought, Index):
+            found: list[list[dict]] = [[{} for _ in range(b.num_rows)] for b in group]
+            texts = [[fold(x) for x in b.column("text").to_pylist()] for b in group]
+            for _, index in each:
+                for k, own in enumerate(texts):
+                    for t, item, begin, edits in index.search(own):
+                        found[k][t].setdefault(item, {"item_id": item, "begin": begin, "edits": edits})
+            for b, own in zip(group, found, strict=True):
+                yield b.set_column(b.schema.get_field_index(name), pa.field(name, to), pa.array([sorted(x.values(), key=lambda y: (y["item_id"] is None, y["item_id"])) for x in own], to))
+
+    out = out.mapInArrow(run, out.schema)
     return out if text else out.drop("text")
 
 
