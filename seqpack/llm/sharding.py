@@ -9,7 +9,8 @@ at most, whatever group of copies there is.
 Only keys and numbers are sorted, never texts. A row's place is the offset of its range partition plus its place there.
 
 Defined results: a null text has size 16 and checksum 0; null doc_id, lang or source sort first; equal rows stay separate rows in
-neighbouring slots. An empty table gives no rows. With fewer rows than shards some shards stay empty.
+neighbouring slots, dealt to several tasks where there are many. Very long texts are read once, for size and checksum. Extra columns
+are ignored, whatever their names. An empty table gives no rows. With fewer rows than shards some shards stay empty.
 """
 
 from __future__ import annotations
@@ -92,8 +93,8 @@ def points(docs: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, h) of each row of docs (doc_id, text, lang, source, ...)."""
-    order = ["h", "text_crc32", "doc_id", "size"]
-    own = cut(points(docs))
+    order = ["h", "text_crc32", "doc_id", "size", "salt"]
+    own = cut(points(docs).withColumn("salt", F.monotonically_increasing_id()))  # written, so that rows equal in all else can be dealt to several tasks
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.monotonically_increasing_id()
     run = cut(own.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", at))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -90,8 +92,6 @@ def check_shards(out, rows, shards=sharding.SHARDS):
 
 
 def test_shards_of_odd_rows(spark, odd_docs, no_docs):
-    import zlib
-
     out = sharding.shard(odd_docs).collect()
     check_shards(out, odd_docs.count())
     expected = sorted((len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in odd_docs.select("text").collect())
@@ -99,6 +99,58 @@ def test_shards_of_odd_rows(spark, odd_docs, no_docs):
     assert sharding.shard(no_docs).count() == 0
 
 
+def plain_index(x, bits):
+    """The Hilbert index of a point: axes to transposed index to number, one integer at a time."""
+    x, n = list(x), len(x)
+    q = 1 << (bits - 1)
+    while q > 1:
+        p = q - 1
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    return sum(((x[i] ^ t) >> b & 1) << (b * n + n - 1 - i) for b in range(bits) for i in range(n))
+
+
+def test_shards_are_those_of_a_loop(spark):
+    import xxhash
+
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    rows = []
+    for r in docs:
+        size, lang = len((r.text or "").encode()) + 16, (r.lang or "").lower()
+        letter = [max(0, min(25, ord(lang[k : k + 1] or "\0") - 97)) for k in (0, 1)]
+        source = (xxhash.xxh64_intdigest((r.source or "").encode(), seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
+        point = ((letter[0] * 26 + letter[1]) >> 3, source % 128, min(127, math.floor(math.log2(size) * 8 - 32)))
+        rows.append((plain_index(point, 7), zlib.crc32((r.text or "").encode()), r.doc_id, size))
+    rows.sort()
+    least, longer = divmod(len(rows), 40)
+    expected, at = [], 0
+    for shard in range(40):
+        n = least + (shard < longer)
+        expected += [(doc, size, crc, "rows", shard, slot, None) for slot, (_, crc, doc, size) in enumerate(rows[at : at + n])]
+        at += n
+    got = sharding.op8_hilbert_shards(spark, "/root/testdata/sf0.01").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_equal_rows_are_dealt_to_several_tasks(spark):
+    docs = spark.range(4000).selectExpr("cast(7 as long) as doc_id", "'same' as text", "'en' as lang", "'s' as source")
+    out = sharding.shard(docs)
+    check_shards(out.collect(), 4000)
+
+
 def test_shards_are_runs_of_the_curve(spark):
     docs = spark.range(1000).selectExpr("id as doc_id", "repeat('x', cast(id % 300 as int)) as text", "if(id % 2 = 0, 'en', 'fr') as lang", "concat('s', id % 5) as source")
     out = sharding.shard(docs).collect()
