@@ -8,11 +8,13 @@ window begins with it, so that every block is compressed rather than stored and
 often the toxic dictionary saves how many bytes makes a text's features; logistic regression weighs them, and its threshold is
 moved to the best F1 of the learned rows, so that 0.5 is the calibrated cut.
 
-Learning takes at most SAMPLE labelled rows and SAMPLE_BYTES of text (least hashes of doc_id first); every text is scored whole.
+Learning takes at most SAMPLE labelled documents and SAMPLE_BYTES of text: least hashes of doc_id first, one row for each doc_id,
+each class up to its share of the labels (the rarer one up to RARE of the sample at least), a text that does not fit passed over.
+Rows are chosen by their lengths, then only the chosen texts go to the driver. Every text is scored whole.
 
 Defined results: null and empty texts have no window and get the score of a text without any saving. Without labels of both
 classes every score is 0. Of labels that repeat a doc_id the highest counts; null labels are left out. Rows that repeat a doc_id
-are scored each. An empty table gives no rows.
+are scored each. Extra columns pass through; the score's column gets another name where it is taken. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from seqpack.llm import common
 
-SAMPLE, SAMPLE_BYTES = 6_000, 24_000_000
+SAMPLE, SAMPLE_BYTES, RARE = 6_000, 24_000_000, 0.05
 GRAM, WINDOW, TOXIC_BYTES, ORDINARY_BYTES = 6, 28, 1200, 600
 LEAST, ODDS, SIGMAS = 4, 1.0, 4.0
 PAD = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -169,22 +171,38 @@ class Classifier:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> Classifier | None:
-    """A classifier from at most rows labelled rows (doc_id, toxic) and size bytes of their texts."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = common.cut(common.least_hashes(common.cut(known), "doc_id", rows))
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", "text", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n"))
-    texts, toxic, left = [], [], size
-    for row in common.cut(joined).orderBy("h", "text").limit(rows).toLocalIterator():
-        left -= row.n or 0
-        if left < 0:
-            break
-        texts.append(row.text)
-        toxic.append(row.toxic == 1)
+    """A classifier from at most rows labelled documents (doc_id, toxic) and size bytes of their texts."""
+    spark = docs.sparkSession
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    known = common.cut(known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi"))
+    n = {t: known.where(F.col("toxic") == t).count() for t in (True, False)}
+    if not all(n.values()):
+        return None
+    rare = min(n, key=n.get)
+    quota = {rare: min(n[rare], max(rows * n[rare] // sum(n.values()), int(rows * RARE), 1))}
+    quota[not rare] = max(1, min(n[not rare], rows - quota[rare]))
+    some = common.cut(common.least_hashes(known.where("toxic"), "doc_id", quota[True]).unionByName(common.least_hashes(known.where("not toxic"), "doc_id", quota[False])))
+    keyed = docs.select(F.col("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("text").alias("key"))
+    own = common.cut(keyed.join(F.broadcast(some), "doc_id"))
+    row = F.min(F.struct("key", "n")).alias("m")
+    sizes = own.groupBy("doc_id", "toxic").agg(row).select("doc_id", "toxic", "m.key", "m.n", F.xxhash64("doc_id").alias("h")).collect()
+    chosen, left = [], {t: size * quota[t] // sum(quota.values()) for t in quota}
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if r.n <= left[r.toxic]:
+            left[r.toxic] -= r.n
+            chosen.append((r.doc_id, r.key))
+    if not chosen:
+        return None
+    wanted = spark.createDataFrame(chosen, f"doc_id {dict(own.dtypes)['doc_id']}, key long")
+    got = own.join(F.broadcast(wanted), ["doc_id", "key"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
+    got.sort(key=lambda r: r.doc_id)
+    texts, toxic = [r.text for r in got], [r.toxic for r in got]
     return Classifier(texts, np.array(toxic)) if any(toxic) and not all(toxic) else None
 
 
 def scored(docs: DataFrame, classifier: Classifier | None, name: str = "score") -> DataFrame:
-    """docs (doc_id, text, ...) with a score of 0 to 1."""
+    """docs (doc_id, text, ...) with a score of 0 to 1, the last column."""
+    name = common.free_name(docs, name)
     known = docs.sparkSession.sparkContext.broadcast(classifier)
     out = docs.withColumn(name, F.lit(0.0))
 
