@@ -13,29 +13,47 @@ from llm_data import prose, rows
 from seqpack.llm import line_dedup, near_dedup
 
 
-def brute_chunks(text):
-    lines = text.split("\n")
-    h, wide, out, start = [hashlib.md5(x.encode()).hexdigest() for x in lines], [x.count(" ") >= line_dedup.WORDS - 1 for x in lines], [], 0
+def words_of(line):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", line))
+
+
+def brute_chunks(lines):
+    """(first line, last line, bytes) of the chunks that are sought."""
+    h, w, out, start = [hashlib.md5(x.encode()).hexdigest() for x in lines], [words_of(x) for x in lines], [], 0
     for i in range(len(lines)):
-        if i == len(lines) - 1 or wide[i] or wide[i + 1] or int(hashlib.md5((h[i] + h[i + 1]).encode()).hexdigest()[:2], 16) % line_dedup.CUT == 0:
-            chunk = "\n".join(lines[start : i + 1])
-            out.append((chunk, (i > start or wide[i]) and bool(re.search(r"\S", chunk))))
+        if i == len(lines) - 1 or w[i] >= line_dedup.WORDS or w[i + 1] >= line_dedup.WORDS or int(hashlib.md5((h[i] + h[i + 1]).encode()).hexdigest()[:2], 16) % line_dedup.CUT == 0:
+            if (i > start or w[i] >= line_dedup.WORDS) and any(w[start : i + 1]):
+                out.append((start, i, "\n".join(lines[start : i + 1])))
             start = i + 1
     return out
 
 
 def brute_lines(docs):
     """docs: (doc_id, text); what stays of each distinct document."""
-    first, out = {}, {}
-    for doc, text in sorted(set(docs), key=lambda x: (x[0] is None, x[0] or 0)):
+    seen, out = set(), {}
+    for doc, text in sorted(set(docs), key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5((x[1] or "").encode()).digest())):
         if text is None:
             out[doc, text] = None
             continue
-        keep = []
-        for chunk, counts in brute_chunks(text):
-            if not counts or first.setdefault(chunk, (doc, text, len(keep))) and chunk not in keep and first[chunk][:2] == (doc, text):
-                keep.append(chunk)
-        out[doc, text] = "\n".join(keep)
+        lines = text.split("\n")
+        gone, fresh = set(), set()
+        for a, b, chunk in brute_chunks(lines):
+            if chunk in seen or chunk in fresh:
+                gone |= set(range(a, b + 1))
+            fresh.add(chunk)
+        wordy, run, words = [i for i, x in enumerate(lines) if words_of(x)], [], 0
+        for a, b in [*zip(wordy, wordy[1:], strict=False), (None, None)]:
+            pair = None if a is None else (lines[a], lines[b])
+            if pair and (pair in seen or pair in fresh):
+                words += words_of(lines[a])
+                run += [a, b]
+            else:
+                if run and words + words_of(lines[run[-1]]) >= line_dedup.WORDS:
+                    gone |= set(range(run[0], run[-1] + 1))
+                run, words = [], 0
+            fresh.add(pair)
+        seen |= fresh
+        out[doc, text] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
 
@@ -58,6 +76,29 @@ def test_a_long_line_that_repeats_goes_whatever_surrounds_it(spark):
     assert got[0].text == docs[0][1] and all(passage not in got[i].text and got[i].n_removed == 1 for i in range(1, 5))
 
 
+@pytest.mark.parametrize("blank", ["\n", "\n\n", "\n \n\n"])
+def test_a_passage_of_short_lines_goes_whole_whatever_surrounds_it(spark, blank):
+    r = random.Random(10)
+    passages = [blank.join(prose(r, r.randint(8, 20)) for _ in range(7)) for _ in range(20)]
+    docs = [(100 * k + i, f"{prose(r, 7)}\n{p}{chr(10) * r.randint(1, 2)}{prose(r, 7)}") for k, p in enumerate(passages) for i in range(3)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for doc, text in docs:
+        lines = text.split("\n")
+        assert got[doc] == text if doc % 100 == 0 else [x for x in got[doc].split("\n") if x.strip()] == [lines[0], lines[-1]]
+
+
+def test_short_runs_of_repeated_lines_stay(spark):
+    r = random.Random(11)
+    footer = [prose(r, 8) for _ in range(3)]
+    docs = [(i, "\n".join([*(prose(r, 6) for _ in range(3)), footer[0], prose(r, 5), footer[1], prose(r, 5), footer[2]])) for i in range(20)]
+    assert all(x.n_removed == 0 for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+
+
+def test_columns_named_like_the_count(spark):
+    out = line_dedup.dedup_lines(spark.createDataFrame([(1, "x", 5)], "doc_id long, text string, n_removed int"))
+    assert out.columns == ["doc_id", "text", "n_removed", "n_removed_"] and out.first().n_removed == 5
+
+
 def test_line_dedup_of_odd_rows(odd_docs, no_docs):
     out = line_dedup.dedup_lines(odd_docs)
     assert out.columns == [*odd_docs.columns, "n_removed"] and out.count() == odd_docs.count()
