@@ -39,21 +39,105 @@ def fnv1a(column: Column) -> Column:
     return run(column)
 
 
+#: Fixed values of the 64-bit finaliser.
+MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+_U = np.uint64
+
+
+def mixed(v: np.ndarray) -> np.ndarray:
+    """The finaliser of unsigned 64-bit numbers."""
+    v = (v ^ (v >> _U(30))) * _U(MIX_1)
+    v = (v ^ (v >> _U(27))) * _U(MIX_2)
+    return v ^ (v >> _U(31))
+
+
+def _unsigned(x: pd.Series) -> np.ndarray:
+    return x.fillna(0).to_numpy(np.int64).view(np.uint64)
+
+
 def mix64(column: Column) -> Column:
-    """[P32] A finaliser of 64-bit numbers, for placement by hash."""
+    """[P32] A finaliser of 64-bit numbers, as a signed number."""
 
     @F.pandas_udf("long")
     def run(x: pd.Series) -> pd.Series:
-        v = x.fillna(0).to_numpy(np.int64).view(np.uint64)
-        v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return pd.Series(pd.arrays.IntegerArray((v ^ (v >> np.uint64(31))).view(np.int64), x.isna().to_numpy()))
+        return pd.Series(pd.arrays.IntegerArray(mixed(_unsigned(x)).view(np.int64), x.isna().to_numpy()))
 
     return run(column)
 
 
+def mixed_slot(column: Column, slots: int, seed: int = 0) -> Column:
+    """[P32, T21] The slot of an id among so many: the unsigned remainder of its mixed hash, after a seed is folded in."""
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series) -> pd.Series:
+        slot = mixed(_unsigned(x) ^ _U(seed)) % _U(slots)
+        return pd.Series(pd.arrays.IntegerArray(slot.astype(np.int32), x.isna().to_numpy()))
+
+    return run(column)
+
+
+#: Fixed values of the digest: what its state begins with, and what parts its four words.
+DIGEST_START, DIGEST_STEP = 0x4348524F4D4F464F, 0x9E3779B97F4A7C15
+
+
+def digest32(words: list[Column], generation: Column) -> Column:
+    """[P33] 32 bytes (hex) of integer words under a key generation: each word is mixed into the state with its place, then four words are drawn."""
+
+    @F.pandas_udf("string")
+    def run(generation: pd.Series, *words: pd.Series) -> pd.Series:
+        state = mixed(_unsigned(generation) ^ _U(DIGEST_START))
+        for k, w in enumerate(words):
+            state = mixed(state ^ _unsigned(w) ^ _U(k))
+        out = np.stack([mixed(state ^ _U(k * DIGEST_STEP & 0xFFFFFFFFFFFFFFFF)) for k in range(4)], 1)
+        return pd.Series([row.tobytes().hex() for row in out.astype("<u8")])
+
+    return run(generation, *words)
+
+
+def replay_hash(*fields: Column) -> Column:
+    """[P33] The hash that names a token: its mixed fields, folded together."""
+
+    @F.pandas_udf("long")
+    def run(*fields: pd.Series) -> pd.Series:
+        out = np.zeros(len(fields[0]), np.uint64)
+        for x in fields:
+            out ^= mixed(_unsigned(x))
+        return pd.Series(out.view(np.int64))
+
+    return run(*fields)
+
+
+def lease_token(page_hash: Column, owner: Column, generation: Column) -> Column:
+    """[P35] 32 bytes (hex) drawn by xorshift from a page's hash, its owner and the lease's generation."""
+
+    @F.pandas_udf("string")
+    def run(page: pd.Series, owner: pd.Series, generation: pd.Series) -> pd.Series:
+        seed = _unsigned(page) ^ _unsigned(owner) ^ _unsigned(generation) * _U(DIGEST_STEP)
+        out = np.empty((len(seed), 32), np.uint8)
+        for k in range(32):
+            seed = seed ^ (seed >> _U(12))
+            seed = seed ^ (seed << _U(25))
+            seed = seed ^ (seed >> _U(27))
+            out[:, k] = seed.astype(np.uint8)
+        return pd.Series([row.tobytes().hex() for row in out])
+
+    return run(page_hash, owner, generation)
+
+
+def token_of(page: int, owner: int, generation: int) -> str:
+    """[P35] One lease's token."""
+    m, out = 0xFFFFFFFFFFFFFFFF, bytearray()
+    seed = (page ^ owner ^ generation * DIGEST_STEP) & m
+    for _ in range(32):
+        seed ^= seed >> 12
+        seed = (seed ^ seed << 25) & m
+        seed ^= seed >> 27
+        out.append(seed & 255)
+    return out.hex()
+
+
 def page_checksum(keys: Column, values: Column) -> Column:
-    """[P33, P34] One digest of both payloads in order, so that swapped or equal payloads are told apart."""
+    """One digest of both payloads in order, so that swapped or equal payloads are told apart."""
     return F.sha2(F.concat(F.sha2(keys, 256), F.lit("|"), F.sha2(values, 256)), 256)
 
 
@@ -87,6 +171,21 @@ def pressure(used: Column, total: Column) -> Column:
     return F.when(share > 0.95, "critical").when(share > 0.75, "high").when(share > 0.5, "moderate").when(share.isNotNull(), "low").otherwise("unknown")
 
 
+#: The profile of each goal, the goals that keep theirs when memory is free, and the profile of low pressure.
+PROFILES = {"longer-context": "maximum-context", "more-users": "high-concurrency", "shared-prefix": "shared-prefix", "lowest-risk": "safe", "balanced": "balanced"}
+KEPT_GOALS, LOW_PROFILE, KV_BYTES = ("shared-prefix", "more-users"), "safe", 256 * 1024
+
+
+def recommended(goal: Column, model_bytes: Column, context: Column, concurrency: Column, vram: Column) -> Column:
+    """[P48, E1] The profile of a goal and the pressure that a model and its estimated history put on memory; null for an unknown goal."""
+    known = (F.coalesce(model_bytes, F.lit(0)) > 0) & (F.coalesce(vram, F.lit(0)) > 0)
+    need = model_bytes + F.greatest(F.lit(0).cast("long"), context * concurrency * KV_BYTES)
+    level = F.when(known, pressure(need.cast("double"), vram.cast("double"))).otherwise("unknown")
+    own = F.try_element_at(F.create_map(*[F.lit(x) for kv in PROFILES.items() for x in kv]), goal)
+    profile = F.when((level == "low") & own.isNotNull() & ~goal.isin(*KEPT_GOALS), LOW_PROFILE).otherwise(own)
+    return F.struct(profile.alias("profile"), level.alias("pressure"), F.when(F.coalesce(vram, F.lit(0)) > 0, "medium").otherwise("low").alias("confidence"))
+
+
 def checked_add(a: Column, b: Column) -> Column:
     """[P43] Null where the sum does not fit."""
     return F.try_add(a, b)

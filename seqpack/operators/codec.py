@@ -13,20 +13,25 @@ from pyspark.sql.window import Window
 CODECS = {2: (1, -2, 1), 4: (7, -8, 7), 8: (127, -128, 127), 16: (1, -32768, 32767)}
 
 
+def finite(x: Column) -> Column:
+    """x, or 0 where it is NaN or infinite: such values have code 0 and no part in scales."""
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+
+
 def scale(x: Column, keys: list[str], qmax: int) -> Column:
-    """[P17, P53] The largest magnitude over qmax within keys, 1 where all are 0."""
-    top = F.max(F.abs(x)).over(Window.partitionBy(*keys))
+    """[P17, P53] The largest finite magnitude over qmax within keys, 1 where all are 0."""
+    top = F.max(F.abs(finite(x))).over(Window.partitionBy(*keys))
     return F.when(top > 0, top / qmax).otherwise(F.lit(1.0))
 
 
 def half_away(x: Column, s: Column, q: int = 7) -> Column:
-    """[P15] Round half away from zero, symmetric clamp."""
-    return F.greatest(F.lit(-q), F.least(F.lit(q), F.round(x / s).cast("int")))
+    """[P15] Round half away from zero, symmetric clamp; the clamp comes before the whole number."""
+    return F.greatest(F.lit(float(-q)), F.least(F.lit(float(q)), F.round(finite(x) / s))).cast("int")
 
 
 def half_even(x: Column, s: Column, low: int = -8, high: int = 7) -> Column:
-    """[P16, P25] Round half to even, clamp to the stored range."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.rint(x / s).cast("int")))
+    """[P16, P25] Round half to even, clamp to the stored range, whole number."""
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.rint(finite(x) / s))).cast("int")
 
 
 def zero_point(x: Column, s: Column) -> Column:
@@ -52,7 +57,7 @@ def blockwise(values: DataFrame, block: int = 32) -> DataFrame:
 
 def raw16(x: Column) -> Column:
     """[P25, P29] The uncompressed codec stores whole numbers: a lossy choice that is kept."""
-    return F.rint(F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), x))).cast("int")
+    return F.rint(F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), finite(x)))).cast("int")
 
 
 def packed_bytes(bits: Column, count: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqpack.functions import hashes
+
 #: The roles that may do each operation.
 OPERATIONS = {
     "register_worker": ("router", "scheduler", "admin"),
@@ -40,10 +42,11 @@ def transports(moves: DataFrame, devices: DataFrame) -> DataFrame:
     return moves.join(s, "source").join(t, "target").withColumn("transport", how)
 
 
-def placed(sequences: DataFrame, devices: int, moves: DataFrame) -> DataFrame:
-    """[T21] (seq_id, device): by hash, or where the last move has put it."""
+def placed(sequences: DataFrame, devices: int, moves: DataFrame, seed: int = 0) -> DataFrame:
+    """[P32, T21] (seq_id, device): by the mixed hash of id and seed, or where the last move has put it."""
     last = moves.groupBy("seq_id").agg(F.max_by("device", "seq_no").alias("moved"))
-    return sequences.join(last, "seq_id", "left").select("seq_id", F.coalesce("moved", F.pmod(F.col("seq_id"), F.lit(devices)).cast("int")).alias("device"))
+    own = hashes.mixed_slot(F.col("seq_id"), devices, seed)
+    return sequences.withColumn("own", own).join(last, "seq_id", "left").select("seq_id", F.coalesce("moved", "own").alias("device"))
 
 
 def eligible(workers: DataFrame) -> DataFrame:
@@ -73,22 +76,38 @@ def fenced(claims: DataFrame, leases: DataFrame, now: Column) -> DataFrame:
     return claims.join(own, "page", "left").withColumn("verdict", verdict)
 
 
+LEASED = "page long, seq_no long, op string, ok boolean, owner long, generation long, token string, expires_at long"
+
+
 def leases(ops: DataFrame, duration: int) -> DataFrame:
-    """[T17, P35] Replay of ops (page, seq_no, op, worker, generation, at): acquire, renew, transfer; the lease after each, or a refusal. A page is one task's work."""
-    schema = "page long, seq_no long, op string, ok boolean, owner long, generation long, expires_at long"
+    """[T17, P35] Replay of ops (page, seq_no, op, worker, generation, token, at): acquire, renew, transfer; the lease after each, or a refusal.
+
+    Acquiring takes an expired lease or none, and a worker; renewing and transferring the lease's generation and token, expired or
+    not. A lease's token follows from page, owner and generation. A page is one task's work.
+    """
+    own = ops.withColumn("page_hash", hashes.fnv1a(F.encode(F.col("page").cast("string"), "UTF-8")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner, generation, until, out = 0, 0, -1, []
+        owner, generation, until, held, out = 0, 0, -1, None, []
         for r in pdf.sort_values("seq_no").itertuples():
-            ok = until <= r.at if r.op == "acquire" else generation > 0 and r.generation == generation
+            if r.op == "acquire":
+                ok = r.worker != 0 and until <= r.at
+            else:
+                ok = generation > 0 and r.generation == generation and r.token == held and (r.op == "renew" or r.op == "transfer" and r.worker != 0)
             if ok:
                 if r.op != "renew":
                     owner, generation = int(r.worker), generation + 1
+                    held = hashes.token_of(r.page_hash, owner, generation)
                 until = int(r.at) + duration
-            out.append((r.page, r.seq_no, r.op, bool(ok), owner, generation, until))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            out.append((r.page, r.seq_no, r.op, bool(ok), owner, generation, held, until))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in LEASED.split(", ")])
+
+    return own.groupBy("page").applyInPandas(one, LEASED)
 
-    return ops.groupBy("page").applyInPandas(one, schema)
+
+def page_token(page: Column, owner: Column, generation: Column) -> Column:
+    """[P35] The token of a page's lease under an owner and generation."""
+    return hashes.lease_token(hashes.fnv1a(F.encode(page.cast("string"), "UTF-8")), owner, generation)
 
 
 def transfer_verdict() -> Column:
@@ -107,23 +126,42 @@ def role_table(spark) -> DataFrame:
 
 
 def authorized(requests: DataFrame, table: DataFrame) -> DataFrame:
-    """[P39, F12, T15] requests (role, operation, tenant, resource_tenant) with allowed: the role may do it, within its tenant unless it is admin."""
+    """[P39, F12, T15] requests (role, operation, tenant, resource_tenant) with allowed: the role may do it, within its tenant unless it is admin or no tenant (0) is meant."""
     may = requests.join(table.withColumn("may", F.lit(True)), ["role", "operation"], "left")
-    return may.withColumn("allowed", F.coalesce("may", F.lit(False)) & ((F.col("role") == "admin") | (F.col("tenant") == F.col("resource_tenant")))).drop("may")
+    bound = (F.col("role") == "admin") | (F.col("resource_tenant") == 0) | (F.col("tenant") == F.col("resource_tenant"))
+    return may.withColumn("allowed", F.coalesce("may", F.lit(False)) & bound).drop("may")
+
+
+def identity_verdict(now: Column, current: Column, following: Column, rotated_at: Column, grace: Column) -> Column:
+    """[F11, T15] Whether a peer (not_before, not_after, key_generation) is valid: in time, both bounds included, with the current key, or the following one within the grace after a rotation.
+
+    following and rotated_at are 0 when no rotation has begun.
+    """
+    key = F.col("key_generation")
+    is_next = (following != 0) & (key == following)
+    within = (rotated_at != 0) & (now <= rotated_at + grace)
+    timely = (F.col("not_before") <= now) & (now <= F.col("not_after"))
+    return F.when((key != current) & ~is_next, "stale key").when((key != current) & ~within, "out of grace").when(~timely, "outside its time").otherwise(F.when(key == current, "valid").otherwise("grace"))
 
 
-def identity_verdict(now: Column, generation: Column, grace_until: Column) -> Column:
-    """[F11, T15] Whether a peer (not_before, not_after, key_generation) is valid: in time, with the current key, or the last one in its grace."""
-    timely = (F.col("not_before") <= now) & (now < F.col("not_after"))
-    key = F.when(F.col("key_generation") == generation, "valid").when((F.col("key_generation") == generation - 1) & (now <= grace_until), "grace").otherwise("old key")
-    return F.when(~timely, "outside its time").otherwise(key)
+def rotated(config: DataFrame, requests: DataFrame) -> DataFrame:
+    """[T15] config (current, ...) after the last rotation (seq_no, following, at) to a later key than the current one: following and rotated_at, 0 without any."""
+    best = F.max(F.struct("seq_no", "following", "at")).alias("m")
+    last = config.join(requests, F.col("following") > F.col("current")).agg(best)
+    return config.join(last).select(config["*"], F.coalesce("m.following", F.lit(0)).alias("following"), F.coalesce("m.at", F.lit(0)).alias("rotated_at"))
 
 
 def fresh_tokens(tokens: DataFrame, window: int) -> DataFrame:
-    """[F13, T14] tokens (nonce, issued_at, seen_at): accepted the first time, within window of its issue."""
-    first = F.row_number().over(Window.partitionBy("nonce").orderBy("seen_at", "token_id")) == 1
-    timely = F.abs(F.col("seen_at") - F.col("issued_at")) <= window
-    return tokens.withColumn("verdict", F.when(~timely, "outside the window").when(first, "accepted").otherwise("replayed"))
+    """[F13, P33, T14] tokens (token_id, peer, nonce, issued_at, operation, seen_at): accepted the first time they are seen within window of their issue.
+
+    A token is named by the hash of peer, nonce, time and operation; a sight outside the window is no sight. Peers or nonces of 0 are refused.
+    What was seen is kept, however much it is.
+    """
+    sound = (F.col("peer") != 0) & (F.col("nonce") != 0)
+    timely = F.col("issued_at").between(F.greatest(F.lit(0), F.col("seen_at") - window), F.col("seen_at") + window)
+    named = tokens.withColumn("hash", hashes.replay_hash(*map(F.col, ("peer", "nonce", "issued_at", "operation")))).withColumn("good", sound & timely)
+    first = F.row_number().over(Window.partitionBy("hash", "good").orderBy("seen_at", "token_id")) == 1
+    return named.withColumn("verdict", F.when(~sound, "invalid").when(~timely, "outside the window").when(first, "accepted").otherwise("replayed")).drop("hash", "good")
 
 
 def audit_chain(events: DataFrame, key: str) -> DataFrame:
@@ -160,15 +198,18 @@ def valid_shards(shards: DataFrame, devices: DataFrame) -> DataFrame:
     return known.withColumn("reasons", why).drop("known")
 
 
+#: The scenarios that a qualification has to hold evidence of.
+SCENARIOS = ("cache-cold", "cache-warm", "multi-tenant-overload", "cancellation", "decode-worker-failure", "network-fault", "certificate-rotation", "rolling-upgrade", "rollback")
+
+
 def scenarios(spark) -> DataFrame:
-    """[E4] The scenarios that a qualification has to hold evidence of."""
-    names = ("baseline", "long context", "many sequences", "shared prefix", "speculation", "migration", "worker failure", "overload", "soak")
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "scenario_id int, name string")
+    """[E4]"""
+    return spark.createDataFrame([(i, n) for i, n in enumerate(SCENARIOS)], "scenario_id int, name string")
 
 
 def supports(mask: Column, model: Column) -> Column:
-    """[P38]"""
-    return (model < 64) & (F.shiftright(mask, 0).bitwiseAND(F.expr("shiftleft(1L, cast(model_id as int))")) != 0)
+    """[P38] Whether a mask has a model's bit; models from 64 on are in none."""
+    return F.when((model >= 0) & (model < 64), F.getbit(mask.cast("long"), model.cast("int")) == 1).otherwise(False)
 
 
 def estimates() -> tuple[Column, Column]:
@@ -181,14 +222,41 @@ def fairness() -> Column:
     return F.expr("greatest(0, virtual_runtime div greatest(1, weight) - priority * 1000)")
 
 
+#: Workers that are broadcast at most; more of them meet the requests in a shuffle, in so many parts for each model.
+BROADCAST, PARTS = 10_000, 64
+
+
+def frontier(workers: DataFrame) -> DataFrame:
+    """Per model the eligible workers that can be the best for some request: none is as fast, as little loaded and of no higher id."""
+    load = (F.col("queue_depth") + F.col("active")).alias("load")
+    rates = [F.greatest(F.lit(1), c).alias(c) for c in ("prefill_rate", "decode_rate")]
+    able = workers.where("state < 2 and not circuit_open").select("worker_id", "model_mask", load, *rates)
+    models = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda m: F.getbit(F.col("model_mask").cast("long"), m.cast("int")) == 1)
+    able = able.select(F.explode(models).alias("model_id"), "worker_id", "load", "prefill_rate", "decode_rate")
+    same = able.groupBy("model_id", "load", "prefill_rate", "decode_rate").agg(F.min("worker_id").alias("worker_id"))
+    one, two = same.alias("one"), same.alias("two")
+    better = (F.col("two.model_id") == F.col("one.model_id")) & (F.col("two.load") <= F.col("one.load")) & (F.col("two.prefill_rate") >= F.col("one.prefill_rate")) & (F.col("two.decode_rate") >= F.col("one.decode_rate"))
+    other = (F.col("two.worker_id") < F.col("one.worker_id")) | ((F.col("two.load") < F.col("one.load")) & (F.col("two.worker_id") != F.col("one.worker_id")))
+    return one.join(two, better & other, "left_anti")
+
+
 def best_worker(requests: DataFrame, workers: DataFrame) -> DataFrame:
-    """[J16, O5] Per request the eligible worker of least score, ties to the least id.."""
+    """[J16, O5] Per request (request_id, model_id, ...) the eligible worker of least score, ties to the least id; requests without one have no row.
+
+    A tenant's fairness is the same for all workers, so it never decides between them. Only workers of the frontier meet a
+    request, and the best of a part is kept before anything is shuffled.
+    """
     prefill, decode = estimates()
-    pairs = requests.crossJoin(workers.where("state < 2 and not circuit_open")).where(supports(F.col("model_mask"), F.col("model_id")))
+    edge = frontier(workers)
+    if edge.limit(BROADCAST + 1).count() <= BROADCAST:
+        pairs = requests.join(F.broadcast(edge), "model_id")
+    else:
+        parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+        pairs = requests.withColumn("_part", F.pmod(F.xxhash64("request_id"), F.lit(PARTS)).cast("int")).join(edge.withColumn("_part", parts), ["model_id", "_part"])
     scored = pairs.withColumn("prefill_us", prefill).withColumn("decode_us", decode)
-    score = F.when(F.col("deadline") > 0, F.col("prefill_us") + F.col("decode_us")).otherwise(0) + (F.col("queue_depth") + F.col("active")) * 1000
-    best = F.row_number().over(Window.partitionBy("request_id").orderBy("score", "worker_id"))
-    return scored.withColumn("score", score).withColumn("r", best).where("r = 1").select("request_id", "worker_id", "prefill_us", "decode_us", "score")
+    score = (F.when(F.col("deadline") > 0, F.col("prefill_us") + F.col("decode_us")).otherwise(0) + F.col("load") * 1000).alias("score")
+    best = scored.groupBy("request_id").agg(F.min(F.struct(score, F.col("worker_id"), F.col("prefill_us"), F.col("decode_us"))).alias("m"))
+    return best.select("request_id", "m.worker_id", "m.prefill_us", "m.decode_us", "m.score")
 
 
 def scale_plan(tenants: DataFrame, workers: DataFrame, threshold: int) -> DataFrame:
@@ -198,46 +266,67 @@ def scale_plan(tenants: DataFrame, workers: DataFrame, threshold: int) -> DataFr
     return q.crossJoin(h).select((F.greatest(F.lit(1), F.expr("healthy div 2")) + over).alias("prefill"), (F.greatest(F.lit(2), F.expr("healthy - healthy div 2")) + over).alias("decode"), (over + 1).alias("replicas"))
 
 
-REPLAYED = "seq_no long, request_id long, tenant long, result string, queue_position long, fairness long"
+REPLAYED = "seq_no long, op string, request_id long, tenant long, result string, worker_id long, prefill_us long, decode_us long, kv_bytes long, queue_position long, fairness long, active long, queued long"
+
 
+def replay(ops: DataFrame, tenants: DataFrame, workers: DataFrame, max_active: int, max_queued: int) -> DataFrame:
+    """[T19, F6, A35, J16] Replay of ops (seq_no, op, request_id, tenant, model_id, priority, prompt_tokens, completion_tokens, cached_tokens, deadline, generated, gpu_us).
 
-def replay(ops: DataFrame, max_active: int, max_queued: int) -> DataFrame:
-    """[T19, F6, A35] Replay of ops (seq_no, op, request_id, tenant, prompt_tokens, completion_tokens, priority, weight, quota, concurrent).
+    op: admit, complete, cancel. tenants (tenant, weight, concurrent, queued, prompt_quota, completion_quota, gpu_budget) and
+    workers stand as they are for the whole log. An admission is refused for an id that is held, an unknown tenant, or one of its
+    numbers being 0; then quotas are looked at (prompt tokens of all admissions, generated tokens and GPU time of all
+    completions), then whether a worker has the model, then whether it runs now or waits (all active requests, the tenant's own)
+    and whether there is room to wait (all, the tenant's). Completing adds usage, once for each id; cancelling does not. Queued
+    requests are not promoted. A row's active and queued are the totals after it.
 
-    Totals over all tenants decide, so the log is one key and one task's work: meant for logs of decisions, not for facts.
-    Quotas are cumulative; a request that has no tenant quota left is refused before totals are looked at; queued requests are
-    not promoted.
+    Each request's worker is found before, in parallel. Totals over all tenants decide the rest, so the log is one key and one
+    task's work: meant for logs of decisions, not for facts.
     """
+    asked = ops.where("op = 'admit'").select("request_id", "seq_no", "model_id", "prompt_tokens", "cached_tokens", "completion_tokens", "deadline")
+    best = best_worker(asked.withColumn("request", F.col("request_id")).withColumn("request_id", F.col("seq_no")), workers).select(F.col("request_id").alias("seq_no"), "worker_id", "prefill_us", "decode_us")
+    policy = tenants.select("tenant", "weight", "concurrent", F.col("queued").alias("waiting"), "prompt_quota", "completion_quota", "gpu_budget")
+    log = ops.join(best, "seq_no", "left").join(policy, "tenant", "left").na.fill(0)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        active: dict = {}
-        queued: dict = {}
-        used: dict = {}
-        runtime: dict = {}
+        names = ("active", "queued", "prompt", "generated", "gpu", "runtime")
+        state: dict = {}
         held: dict = {}
+        billed: set = set()
+        total = {"active": 0, "queued": 0}
         out = []
         for r in pdf.sort_values("seq_no").itertuples():
-            t, result, place, fair = r.tenant, "refused", 0, 0
-            if r.op == "admit" and r.request_id not in held:
-                if used.get(t, 0) + r.prompt_tokens > r.quota:
+            result, place, fair, fresh = "refused", 0, 0, False
+            if r.op == "admit" and r.request_id and r.request_id not in held and r.weight and r.prompt_tokens and r.completion_tokens:
+                own = state.setdefault(r.tenant, dict.fromkeys(names, 0))
+                if own["prompt"] + r.prompt_tokens > r.prompt_quota or own["generated"] + r.completion_tokens > r.completion_quota or own["gpu"] >= r.gpu_budget:
                     result = "quota"
+                elif not r.worker_id:
+                    result = "model"
                 else:
-                    waits = sum(active.values()) >= max_active or active.get(t, 0) >= r.concurrent
-                    waiting = sum(queued.values())
-                    if waits and waiting >= max_queued:
+                    side = "queued" if total["active"] >= max_active or own["active"] >= r.concurrent else "active"
+                    if side == "queued" and (total["queued"] >= max_queued or own["queued"] >= r.waiting):
                         result = "overload"
                     else:
-                        result, place = ("queue", waiting + 1) if waits else ("now", 0)
-                        side = queued if waits else active
-                        side[t] = side.get(t, 0) + 1
-                        held[r.request_id] = side
-                        used[t] = used.get(t, 0) + r.prompt_tokens
-                        runtime[t] = runtime.get(t, 0) + r.prompt_tokens + r.completion_tokens
-                        fair = max(0, runtime[t] // max(1, r.weight) - r.priority * 1000)
+                        result, fresh = "queue" if side == "queued" else "now", True
+                        place = total["queued"] + 1 if side == "queued" else 0
+                        own[side] += 1
+                        total[side] += 1
+                        held[r.request_id] = (side, r.tenant)
+                        own["prompt"] += r.prompt_tokens
+                        own["runtime"] += r.prompt_tokens + r.completion_tokens
+                        fair = max(0, own["runtime"] // r.weight - r.priority * 1000)
+            elif r.op == "complete" and r.request_id in held and r.request_id in billed:
+                result = "duplicate"
             elif r.op in ("complete", "cancel") and r.request_id in held:
-                held.pop(r.request_id)[t] -= 1
+                side, tenant = held.pop(r.request_id)
+                state[tenant][side] -= 1
+                total[side] -= 1
+                if r.op == "complete":
+                    state[tenant]["generated"] += r.generated
+                    state[tenant]["gpu"] += r.gpu_us
+                    billed.add(r.request_id)
                 result = "done"
-            out.append((r.seq_no, r.request_id, t, result, place, fair))
+            out.append((r.seq_no, r.op, r.request_id, r.tenant, result, *((r.worker_id, r.prefill_us, r.decode_us, r.prompt_tokens * 1024) if fresh else (0, 0, 0, 0)), place, fair, total["active"], total["queued"]))
         return pd.DataFrame(out, columns=[c.split()[0] for c in REPLAYED.split(", ")])
 
-    return ops.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(one, REPLAYED)
+    return log.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(one, REPLAYED)

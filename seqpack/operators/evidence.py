@@ -12,20 +12,57 @@ def p95(c: str) -> Column:
     return F.expr(f"percentile_disc(0.95) within group (order by {c})")
 
 
-def slo(requests: DataFrame, policy: dict, by: list[str]) -> DataFrame:
-    """[A15, F16] requests (ttft, per_token, failed, accounted, observed) against a policy."""
-    out = requests.groupBy(*by).agg(F.count("*").alias("samples"), F.count_if("failed").alias("errors"), p95("ttft").alias("ttft_p95"), p95("per_token").alias("token_p95"), F.max(F.abs(F.col("accounted") - F.col("observed"))).alias("memory_delta"))
+#: What a request's trace has to name, and the times in it that cannot be below 0.
+NAMED = ("trace_id", "request_id", "tenant_id", "model_id", "worker_id", "release_digest")
+
+
+def sound_trace(times: tuple[str, ...]) -> Column:
+    """[F16] Whether a trace names everything and its times are no less than 0."""
+    ok = [F.coalesce(F.col(c) != "", F.lit(False)) for c in NAMED] + [F.coalesce(F.col(c) >= 0, F.lit(False)) for c in times]
+    return F.forall(F.array(*ok), lambda x: x)
+
+
+def slo(requests: DataFrame, policy: dict, by: list[str], references: DataFrame | None = None) -> DataFrame:
+    """[A15, F16] requests (ttft, per_token, failed, accounted, observed, prompt_present, series) against a policy (ttft, token, availability, samples, series).
+
+    Passed: enough samples, latencies and availability within the policy, no reference left (references: keys, page_refs,
+    snapshot_refs, lease_refs, request_refs; keys without a row have none), no prompt's content in a trace, and no more distinct series than the policy has.
+    """
+    out = requests.groupBy(*by).agg(
+        F.count("*").alias("samples"), F.count_if("failed").alias("errors"), p95("ttft").alias("ttft_p95"), p95("per_token").alias("token_p95"), F.max(F.abs(F.col("accounted") - F.col("observed"))).alias("memory_delta"),
+        (~F.bool_or(F.coalesce("prompt_present", F.lit(False)))).alias("redacted"), (F.countDistinct("series") <= policy["series"]).alias("bounded"),
+    )
+    if references is None:
+        out = out.withColumn("reconciled", F.lit(True))
+    else:
+        left = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("page_refs", "snapshot_refs", "lease_refs", "request_refs")), F.lit(0))
+        out = out.join(references.groupBy(*by).agg(F.max(left).alias("_left")), by, "left").withColumn("reconciled", F.coalesce("_left", F.lit(0)) == 0).drop("_left")
     availability = 100.0 * (F.col("samples") - F.col("errors")) / F.col("samples")
     ok = (F.col("ttft_p95") <= policy["ttft"]) & (F.col("token_p95") <= policy["token"]) & (F.col("availability") >= policy["availability"]) & (F.col("samples") >= policy["samples"])
-    return out.withColumn("availability", availability).withColumn("passed", ok)
+    return out.withColumn("availability", availability).withColumn("passed", ok & F.col("reconciled") & F.col("redacted") & F.col("bounded"))
+
 
+#: The marks of a request that fail a release candidate.
+FAULTS = ("leaked", "incorrect", "cuda_error", "contaminated")
 
-def rc1(requests: DataFrame, memory: DataFrame, limits: dict, by: str) -> DataFrame:
-    """[A16, A17] PASS, FAIL or INCOMPLETE of each group; without memory samples nothing is decided."""
-    r = requests.groupBy(by).agg(F.count("*").alias("requests"), p95("ttft").alias("ttft_p95"), p95("inter_token").alias("token_p95"), F.count_if("leaked").alias("leaks"))
+
+def rc1(requests: DataFrame, memory: DataFrame, limits: dict, by: str, references: DataFrame | None = None) -> DataFrame:
+    """[A16, A17] PASS, FAIL or INCOMPLETE of each group of requests (ttft, inter_token, leaked, incorrect, cuda_error, contaminated).
+
+    memory (accounted, observed, seq_no): the last sample with an observed value above 0 counts; without one nothing is decided.
+    references (page_refs, snapshot_refs, lease_refs, request_refs, seq_no): the last sample is what is left unreconciled.
+    """
+    r = requests.groupBy(by).agg(F.count("*").alias("requests"), p95("ttft").alias("ttft_p95"), p95("inter_token").alias("token_p95"), *[F.count_if(c).alias(c) for c in FAULTS])
     ratio = F.max_by(F.abs(F.col("accounted") - F.col("observed")) / F.col("observed"), "seq_no")
-    both = r.join(memory.groupBy(by).agg(ratio.alias("memory_error")), by, "left")
-    bad = (F.col("leaks") > 0) | (F.col("ttft_p95") > limits["ttft"]) | (F.col("token_p95") > limits["token"]) | (F.col("memory_error") > limits["memory"])
+    both = r.join(memory.where("observed > 0").groupBy(by).agg(ratio.alias("memory_error")), by, "left")
+    if references is None:
+        both = both.withColumn("unreconciled", F.lit(0).cast("long"))
+    else:
+        last = F.max_by(F.col("page_refs") + F.col("snapshot_refs") + F.col("lease_refs") + F.col("request_refs"), "seq_no").cast("long")
+        both = both.join(references.groupBy(by).agg(last.alias("unreconciled")), by, "left").na.fill(0, ["unreconciled"])
+    bad = (F.col("ttft_p95") > limits["ttft"]) | (F.col("token_p95") > limits["token"]) | (F.col("memory_error") > limits["memory"]) | (F.col("unreconciled") != 0)
+    for c in FAULTS:
+        bad = bad | (F.col(c) > 0)
     return both.withColumn("decision", F.when(F.col("memory_error").isNull() | (F.col("requests") == 0), "INCOMPLETE").when(bad, "FAIL").otherwise("PASS"))
 
 
@@ -69,8 +106,17 @@ def _squared_gap(mean: Column):
     return lambda x: (x - mean) * (x - mean)
 
 
+#: The error that a case may have where it names no tolerance of its own, and the ratios of the states.
+TOLERANCE, WIN, PARITY = 0.0002, 0.98, 1.02
+
+
 def crossover(cases: DataFrame, most_cv: float = 5.0) -> DataFrame:
-    """[A22] cases (..., compressed, dense) of latency arrays: ratio of medians and WIN, PARITY, LOSS, or NOISY, INCOMPLETE."""
+    """[A22] cases (..., compressed, dense, compressed_mib, dense_mib, max_error, tolerance) of latency arrays: state and reason, ratio of medians.
+
+    INCOMPLETE: something is missing, fewer than three runs of a side, runs that vary by more than most_cv percent, or an error
+    beyond the tolerance. Then WIN or PARITY by the ratio where less memory is used, else NO_CROSSOVER. The ratio is null where
+    the case is INCOMPLETE.
+    """
     stats = lambda a: (F.expr(f"aggregate({a}, cast(0 as double), (s, x) -> s + x, s -> s / size({a}))"), F.array_sort(a))
     out = cases
     for c in ("compressed", "dense"):
@@ -78,16 +124,25 @@ def crossover(cases: DataFrame, most_cv: float = 5.0) -> DataFrame:
         n = F.size(c)
         var = F.aggregate(F.transform(c, _squared_gap(mean)), F.lit(0.0), lambda s, x: s + x) / F.greatest(n - 1, F.lit(1))
         half = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
-        out = out.withColumn(f"{c}_median", half).withColumn(f"{c}_cv", F.sqrt(var) / mean * 100)
-    ratio = F.col("compressed_median") / F.col("dense_median")
-    few = (F.size("compressed") < 3) | (F.size("dense") < 3)
-    noisy = (F.col("compressed_cv") > most_cv) | (F.col("dense_cv") > most_cv)
-    return out.withColumn("ratio", ratio).withColumn("state", F.when(few, "INCOMPLETE").when(noisy, "NOISY").when(ratio <= 0.98, "WIN").when(ratio <= 1.02, "PARITY").otherwise("LOSS"))
+        out = out.withColumn(f"{c}_median", half).withColumn(f"{c}_cv", F.when(mean == 0, float("inf")).otherwise(F.try_divide(F.sqrt(var), mean) * 100))
+    needed = ("compressed", "dense", "compressed_mib", "dense_mib", "max_error")
+    lacking = F.exists(F.array(*[F.col(c).isNull() for c in needed]), lambda x: x)
+    why = (
+        F.when(lacking, "missing").when((F.size("compressed") < 3) | (F.size("dense") < 3), "few").when((F.col("compressed_cv") > most_cv) | (F.col("dense_cv") > most_cv), "noise")
+        .when(F.col("max_error") > F.coalesce("tolerance", F.lit(TOLERANCE)), "tolerance")
+    )
+    ratio = F.try_divide(F.col("compressed_median"), F.col("dense_median"))
+    smaller = F.col("compressed_mib") < F.col("dense_mib")
+    out = out.withColumn("reason", why).withColumn("ratio", F.when(F.col("reason").isNull(), ratio)).withColumn("memory_improved", F.when(F.col("reason").isNull(), smaller))
+    state = F.when(F.col("reason").isNotNull(), "INCOMPLETE").when((F.col("ratio") <= WIN) & smaller, "WIN").when((F.col("ratio") <= PARITY) & smaller, "PARITY").otherwise("NO_CROSSOVER")
+    return out.withColumn("state", state)
 
 
 def overall(cases: DataFrame) -> DataFrame:
-    """[A23] Cases of each state."""
-    return cases.groupBy("state").agg(F.count("*").alias("cases"))
+    """[A23] One row: the overall state, and cases of each state. Any WIN wins, then any PARITY; INCOMPLETE if no case is anything else."""
+    n = cases.agg(F.count("*").alias("cases"), *[F.count_if(F.col("state") == s).alias(s.lower()) for s in ("WIN", "PARITY", "NO_CROSSOVER", "INCOMPLETE")])
+    state = F.when(F.col("win") > 0, "WIN").when(F.col("parity") > 0, "PARITY").when(F.col("incomplete") == F.col("cases"), "INCOMPLETE").otherwise("NO_CROSSOVER")
+    return n.withColumn("state", state)
 
 
 def grid(spark, dims: dict[str, list]) -> DataFrame:
@@ -124,8 +179,11 @@ def violations(documents: DataFrame, rules: DataFrame) -> DataFrame:
 
     One engine for all families: `required`, `number_min`, `number_max`, `equals`, `matches`.
     """
-    ids = documents.select("doc_id").distinct()
-    all_ = ids.crossJoin(rules).join(documents, ["doc_id", "path"], "left")
+    values = documents.groupBy("doc_id").agg(F.collect_list(F.struct("path", "value")).alias("values"))
+    table = rules.agg(F.collect_list(F.struct("family", "path", "op", "operand")).alias("rules"))  # one row: rules are a few for each family
+    each = values.crossJoin(table).select("doc_id", "values", F.explode("rules").alias("r"))
+    own = F.transform(F.filter("values", lambda v: v["path"] == F.col("r.path")), lambda v: v["value"])
+    all_ = each.select("doc_id", "r.*", F.explode_outer(own).alias("value"))
     n = F.expr("try_cast(value as double)")
     o = F.expr("try_cast(operand as double)")
     ok = (

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqpack.functions.cuts import dense_ranks, written
+
 SENTINEL = "$"
 
 
@@ -22,9 +24,14 @@ def ngrams(tokens: DataFrame, n: int) -> DataFrame:
     return tokens.select("stream_id", "pos", *cols).where(F.col(f"s{n - 1}").isNotNull()).select("stream_id", "pos", F.array(*[f"s{k}" for k in range(n)]).alias("gram"))
 
 
-def ngrams_of_rows(rows: DataFrame, n: int) -> DataFrame:
-    """[W4] As ngrams(), of streams that are rows of arrays (stream_id, syms): nothing is shuffled."""
-    at = F.expr(f"explode(if(size(syms) < {n}, array(), transform(sequence(0, size(syms) - {n}), i -> struct(cast(i as bigint) as pos, slice(syms, i + 1, {n}) as gram))))")
+def _literal(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def ngrams_of_rows(rows: DataFrame, n: int, first: tuple[str, ...] = ()) -> DataFrame:
+    """[W4] As ngrams(), of streams that are rows of arrays (stream_id, syms): nothing is shuffled. With first, only grams that begin with one of its symbols are made."""
+    where = f"filter(sequence(0, size(syms) - {n}), i -> syms[i] in ({', '.join(map(_literal, first))}))" if first else f"sequence(0, size(syms) - {n})"
+    at = F.expr(f"explode(if(size(syms) < {n}, array(), transform({where}, i -> struct(cast(i as bigint) as pos, slice(syms, i + 1, {n}) as gram))))")
     return rows.select("stream_id", at.alias("g")).select("stream_id", "g.pos", "g.gram")
 
 
@@ -95,7 +102,7 @@ def _doubling(symbols: list) -> np.ndarray:
 
 
 def suffix_array(tokens: DataFrame) -> DataFrame:
-    """[O1, O2] (stream_id, sa_rank, pos) with the sentinel's empty suffix at rank 0. A stream is one task's work; streams are independent."""
+    """[O1, O2] (stream_id, sa_rank, pos) with the sentinel's empty suffix at rank 0. A stream is one task's work; streams are independent. For long ones: suffix_array_long()."""
     kind = dict(tokens.dtypes)["stream_id"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,6 +113,34 @@ def suffix_array(tokens: DataFrame) -> DataFrame:
     return tokens.select("stream_id", "pos", "sym").groupBy("stream_id").applyInPandas(one, f"stream_id {kind}, sa_rank long, pos long")
 
 
+def suffix_array_long(tokens: DataFrame) -> DataFrame:
+    """[O1, O2, W3, W4] As suffix_array(), for streams of any length: prefix doubling over all streams at once, as joins and ranks.
+
+    A round pairs the rank of each suffix with that of the suffix k symbols on (none: the stream has ended, the least) and ranks
+    the pairs; k doubles until all ranks of a stream differ. No stream is in one task, and each round is written. Ranks are
+    counted within a stream at the end, by the first rank of each stream. Positions run from 0 without gaps.
+    """
+    ends = tokens.groupBy("stream_id").agg((F.max("pos") + 1).alias("pos"))
+    rows = tokens.select("stream_id", "pos", "sym").unionByName(ends.withColumn("sym", F.lit(None).cast(tokens.schema["sym"].dataType)))
+    ranked = _first_ranks(rows)
+    k = 1
+    while True:
+        state = written(ranked)
+        if not state.where("_size > 1").limit(1).count():
+            break
+        ahead = state.select("stream_id", (F.col("pos") - k).alias("pos"), F.col("rank").alias("next"))
+        both = state.drop("_size").join(ahead, ["stream_id", "pos"], "left").na.fill(-1, ["next"])
+        ranked = dense_ranks(both, ["stream_id", "rank", "next"], "fresh").select("stream_id", "pos", F.col("fresh").alias("rank"), "_size")
+        k *= 2
+    first = state.groupBy("stream_id").agg(F.min("rank").alias("first"))
+    return state.join(first, "stream_id").select("stream_id", (F.col("rank") - F.col("first")).alias("sa_rank"), "pos")
+
+
+def _first_ranks(rows: DataFrame) -> DataFrame:
+    """Ranks by stream and symbol, the end (null) before all symbols."""
+    return dense_ranks(rows.withColumn("sym", F.struct(F.col("sym").isNotNull().alias("is"), F.col("sym").alias("s"))), ["stream_id", "sym"], "rank").select("stream_id", "pos", "rank", "_size")
+
+
 def sampled(sa: DataFrame, every: int) -> DataFrame:
     """[O8] Every so-many-th position with the number of marks before it."""
     marks = F.row_number().over(Window.partitionBy("stream_id").orderBy("sa_rank")) - 1

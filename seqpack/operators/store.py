@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqpack.operators import codec
+
 PAGE = 64
 
 
@@ -30,10 +32,23 @@ def invalid(pages: DataFrame, page: int = PAGE) -> DataFrame:
     return pages.withColumn("reasons", why).where(F.size("reasons") > 0)
 
 
-def overlaps(pages: DataFrame) -> DataFrame:
-    """[J6] Pages that begin before an earlier page of their layer and head has ended: one ordered pass, no pair of rows is joined."""
-    before = Window.partitionBy("layer", "head").orderBy("begin", "page_id").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("covered", F.max(F.col("begin") + F.col("n")).over(before)).where("begin < covered")
+#: Positions that a bucket of pages spans.
+SPAN = 1 << 16
+
+
+def overlaps(pages: DataFrame, span: int = SPAN) -> DataFrame:
+    """[J6] Pages that begin before an earlier page of their layer and head has ended, and how far that page covers.
+
+    Two ordered passes, and no pair of rows is joined: pages are dealt to buckets by where they begin, each bucket learns how far
+    the buckets before it cover (one small row for each bucket is ordered within layer and head), then pages are ordered within theirs.
+    """
+    dealt = pages.withColumn("_bucket", F.floor(F.col("begin") / span)).withColumn("_end", F.col("begin") + F.col("n"))
+    keys = ["layer", "head"]
+    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    most = dealt.groupBy(*keys, "_bucket").agg(F.max("_end").alias("_most")).select(*keys, "_bucket", F.max("_most").over(upto).alias("_before"))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy("begin", "page_id").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.greatest("_before", F.max("_end").over(inner))
+    return dealt.join(most, [*keys, "_bucket"]).withColumn("covered", covered).where("begin < covered").drop("_bucket", "_end", "_before")
 
 
 def snapshot(refs: DataFrame, pages: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -142,15 +157,45 @@ def fold(ops: DataFrame) -> DataFrame:
     return ops.groupBy("seq_id").applyInPandas(one, FOLDED)
 
 
-#: [T5] The steps of sealing a page and the fault points before each.
-SEAL_STEPS = ("validate", "quantize_keys", "quantize_values", "pack_keys", "pack_values", "checksum", "stage", "write", "publish", "release")
+#: [T5] The steps of sealing pages, with a fault point before each.
+SEAL_STEPS = ("validate", "quantize", "pack", "checksum", "stage", "publish", "release")
 
 
-def seal(pages: DataFrame, write, fault: str | None = None) -> str:
-    """[T5] Publish pages in one atomic write; a fault before `publish` leaves the tail full and nothing written, one after it keeps the page."""
-    for step in SEAL_STEPS:
+class SealFault(RuntimeError):
+    """A step that could not be done; nothing was published."""
+
+
+def seal(values: DataFrame, keys: list[str], page: int, stage, publish, release=None, fault: str | None = None) -> DataFrame:
+    """[T5] Full pages of values (keys, idx, x) quantized, packed, summed up and published, all of them or none.
+
+    validate refuses values that are not finite; quantize gives int4 codes by page; pack puts two codes in a byte; checksum digests
+    scale and payload; stage(df) writes the pages where nobody reads them and returns them as written; publish(df) makes them
+    visible in one atomic act; release() lets the tail's memory go. A fault before publish leaves the tail full and nothing
+    visible; one after it keeps the pages. Returns the published pages.
+    """
+
+    def at(step: str) -> None:
         if step == fault:
-            return "published" if SEAL_STEPS.index(step) > SEAL_STEPS.index("publish") else "full"
-        if step == "publish":
-            write(pages)
-    return "published"
+            raise SealFault(step)
+
+    at("validate")
+    full = sealed(values, keys, page).where("is_sealed")
+    if full.where(F.isnan("x") | (F.abs("x") == float("inf")) | F.col("x").isNull()).limit(1).count():
+        raise SealFault("validate")
+    at("quantize")
+    codes = codec.quantized(full, [*keys, "page"], 4)
+    at("pack")
+    nibble = F.array_sort(F.collect_list(F.struct("idx", F.col("q").bitwiseAND(15).alias("q"))))
+    rows = codes.groupBy(*keys, "page").agg(F.first("s").alias("scale"), F.count("*").cast("int").alias("n"), nibble.alias("c"))
+    pairs = F.transform(F.sequence(F.lit(0), F.expr("(n + 1) div 2 - 1")), lambda k: F.get("c", (k * 2).cast("int"))["q"] + F.coalesce(F.get("c", (k * 2 + 1).cast("int"))["q"], F.lit(0)) * 16)
+    rows = rows.withColumn("payload", F.unhex(F.array_join(F.transform(pairs, lambda b: F.lpad(F.hex(b), 2, "0")), ""))).drop("c")
+    at("checksum")
+    rows = rows.withColumn("checksum", F.sha2(F.concat(F.encode(F.col("scale").cast("string"), "UTF-8"), F.col("payload")), 256))
+    at("stage")
+    staged = stage(rows)
+    at("publish")
+    publish(staged)
+    at("release")
+    if release:
+        release()
+    return staged

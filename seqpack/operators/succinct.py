@@ -35,21 +35,29 @@ def rank(tokens: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def rank_directory(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
-    """[A2, W5, P9] (stream_id, sym, blk, before): counts before each block in which the symbol stands, and one past its last."""
-    counts = tokens.groupBy("stream_id", "sym", F.floor(F.col("pos") / block).alias("blk")).agg(F.count("*").alias("n"))
+    """[A2, W5, P9] (stream_id, sym, blk, n, before, bits): counts in and before each block of at most 64 positions in which the symbol stands, and where it stands there, a bit a position."""
+    if not 0 < block <= 64:
+        raise ValueError("a block has 1 to 64 positions")
+    blk = F.floor(F.col("pos") / block)
+    bit = F.expr(f"shiftleft(1L, cast(pos % {block} as int))")
+    counts = tokens.groupBy("stream_id", "sym", blk.alias("blk")).agg(F.count("*").alias("n"), F.bit_or(bit).alias("bits"))
     upto = Window.partitionBy("stream_id", "sym").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("stream_id", "sym", "blk", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.lead("blk").over(Window.partitionBy("stream_id", "sym").orderBy("blk")).alias("next_blk"))
-
-
-def rank_indexed(tokens: DataFrame, directory: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """[A2] As rank(), by the directory's sample and the residue of one block instead of every symbol before i."""
-    q = queries.withColumn("blk_of", F.floor(F.col("i") / block))
-    d = directory.select("stream_id", "sym", "blk", "n", "before", "next_blk")
-    inside = (d.blk <= q.blk_of) & (d.next_blk.isNull() | (d.next_blk > q.blk_of))
-    sampled = q.join(d, (q.stream_id == d.stream_id) & (q.sym == d.sym) & inside, "left").select("qid", q.stream_id, q.sym, "i", "blk_of", F.when(d.blk < q.blk_of, d.before + d.n).otherwise(F.coalesce(d.before, F.lit(0))).alias("sample"))
-    t = tokens.select(F.col("stream_id").alias("s"), F.col("sym").alias("y"), F.col("pos"), F.floor(F.col("pos") / block).alias("b"))
-    rest = sampled.join(t, (F.col("stream_id") == F.col("s")) & (F.col("sym") == F.col("y")) & (F.col("b") == F.col("blk_of")) & (F.col("pos") < F.col("i")), "left")
-    return rest.groupBy("qid", "stream_id", "sym", "i", "sample").agg(F.count("pos").alias("residue")).select("qid", "stream_id", "sym", "i", (F.col("sample") + F.col("residue")).alias("rank"))
+    return counts.select("stream_id", "sym", "blk", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), "bits")
+
+
+def rank_indexed(directory: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """[A2] As rank(), by the directory alone: the last block that is not past a query's, its count before and the bits below the query's position.
+
+    Queries are ordered among the blocks of their stream and symbol; each takes the last block that it has passed, so no row meets
+    a range of others.
+    """
+    d = directory.select("stream_id", "sym", "blk", F.lit(None).cast("long").alias("i"), F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), F.struct("blk", "n", "before", "bits").alias("at"))
+    q = queries.select("stream_id", "sym", F.floor(F.col("i") / block).alias("blk"), "i", "qid", F.lit(None).cast(d.schema["at"].dataType).alias("at"))
+    last = F.last("at", ignorenulls=True).over(Window.partitionBy("stream_id", "sym").orderBy("blk", F.col("qid").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    found = d.unionByName(q).withColumn("at", last).where("qid is not null")
+    below = F.expr(f"bit_count(at.bits & (shiftleft(1L, cast(i % {block} as int)) - 1))")
+    rank_ = F.when(F.col("at").isNull(), 0).when(F.col("at.blk") < F.col("blk"), F.col("at.before") + F.col("at.n")).otherwise(F.col("at.before") + below)
+    return found.select("qid", "stream_id", "sym", "i", rank_.cast("long").alias("rank"))
 
 
 def bit_planes(tokens: DataFrame, bits: int) -> DataFrame:

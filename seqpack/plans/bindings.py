@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqpack.functions import hashes
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,3 +57,15 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 VECTORS = "vec as (select vec_id // 64 as page, vec_id as token, generate_subscripts(embedding, 1) - 1 as dim, unnest(embedding)::double as x from embeddings)"
+
+
+def mixed_sql(source: str, columns: list[str]) -> str:
+    """SQL steps of the 64-bit finaliser: the last, `mixed`, has the rows of source with m_<column> for each column of numbers from 0 on."""
+    steps, last = [], source
+    for k, (shift, factor) in enumerate(((30, hashes.MIX_1), (27, hashes.MIX_2))):
+        own = [f"{c}::uhugeint" if not k else f"m_{c}" for c in columns]
+        kept = "*" if not k else f"* exclude ({', '.join(f'm_{c}' for c in columns)})"
+        steps.append(f"mixed{k} as (select {kept}, " + ", ".join(f"(xor({x}, {x} // {1 << shift}) * {factor}::uhugeint) % {1 << 64}::uhugeint as m_{c}" for c, x in zip(columns, own, strict=True)) + f" from {last})")
+        last = f"mixed{k}"
+    steps.append(f"mixed as (select * exclude ({', '.join(f'm_{c}' for c in columns)}), " + ", ".join(f"xor(m_{c}, m_{c} // {1 << 31}) as m_{c}" for c in columns) + f" from {last})")
+    return ", ".join(steps)

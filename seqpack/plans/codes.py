@@ -38,16 +38,35 @@ def rrr_rank1(spark, d):
     return bytecodes.rrr_packed(low).groupBy("stream_id").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
 
 
-@query("fnv_hashes")
+#: An unsigned 64-bit number as a signed one, in SQL.
+_SIGNED = "case when {0} >= 9223372036854775808 then {0}::hugeint - 18446744073709551616 else {0}::hugeint end"
+
+
+@query("fnv_hashes", f"with b as (select p_partkey, list_transform(string_split(p_name, ''), lambda c: ord(c)::uhugeint) as b from part), h as (select p_partkey, list_reduce(list_prepend({hashes.FNV_OFFSET}::uhugeint, b), lambda h, x: (xor(h, x) * {hashes.FNV_PRIME}::uhugeint) % {1 << 64}::uhugeint) as h from b) select p_partkey, ({_SIGNED.format('h')})::bigint as hash from h")
 def fnv_hashes(spark, d):
-    """[P31] Wrapping hashes of names; held against a loop in the tests."""
+    """[P31] Wrapping hashes of names."""
     return B.table(spark, d, "part").select("p_partkey", hashes.fnv1a(F.encode("p_name", "UTF-8")).alias("hash"))
 
 
-@query("mixed_placement")
+SEED = 42
+
+
+@query("mixed_placement", f"with o as (select o_orderkey, xor(o_orderkey::uhugeint, {SEED}::uhugeint) as v from orders), {B.mixed_sql('o', ['v'])} select o_orderkey, (m_v % 25)::int as device from mixed")
 def mixed_placement(spark, d):
-    """[P32, T21] Orders dealt to 16 devices by a mixed hash; held against a loop in the tests."""
-    return B.table(spark, d, "orders").select("o_orderkey", F.pmod(hashes.mix64(F.col("o_orderkey")), F.lit(16)).cast("int").alias("device"))
+    """[P32, T21] Orders dealt to 25 devices by the unsigned remainder of a mixed hash."""
+    return B.table(spark, d, "orders").select("o_orderkey", hashes.mixed_slot(F.col("o_orderkey"), 25, SEED).alias("device"))
+
+
+_GOAL = "['longer-context', 'more-users', 'shared-prefix', 'lowest-risk', 'balanced'][s_suppkey % 5 + 1]"
+
+
+@query("profile_choice", f"with g as (select s_suppkey, {_GOAL} as goal, greatest(0, floor(s_acctbal)::bigint) * 1000000 as model_bytes, 1000 * (s_suppkey % 7) as context, s_suppkey % 3 as users, case when s_suppkey % 11 = 0 then 0 else 8000000000 end as vram from supplier), r as (select *, case when model_bytes > 0 and vram > 0 then (model_bytes + context * users * 262144) / vram end as ratio from g), l as (select *, case when ratio is null then 'unknown' when ratio > 0.95 then 'critical' when ratio > 0.75 then 'high' when ratio > 0.5 then 'moderate' else 'low' end as pressure from r) select s_suppkey, pressure, case when pressure = 'low' and goal not in ('shared-prefix', 'more-users') then 'safe' else case goal when 'longer-context' then 'maximum-context' when 'more-users' then 'high-concurrency' when 'shared-prefix' then 'shared-prefix' when 'lowest-risk' then 'safe' else 'balanced' end end as profile, case when vram > 0 then 'medium' else 'low' end as confidence from l")
+def profile_choice(spark, d):
+    """[P48, E1] The profile of a goal under the memory pressure of a model and its history."""
+    goals = F.array(*[F.lit(g) for g in ("longer-context", "more-users", "shared-prefix", "lowest-risk", "balanced")])
+    s = B.table(spark, d, "supplier").selectExpr("s_suppkey", "greatest(0L, floor(s_acctbal)) * 1000000 as model_bytes", "1000 * (s_suppkey % 7) as context", "s_suppkey % 3 as users", "if(s_suppkey % 11 = 0, 0L, 8000000000L) as vram")
+    r = hashes.recommended(F.get(goals, (F.col("s_suppkey") % 5).cast("int")), F.col("model_bytes"), F.col("context"), F.col("users"), F.col("vram"))
+    return s.select("s_suppkey", r.alias("r")).select("s_suppkey", "r.pressure", "r.profile", "r.confidence")
 
 
 @query("safe_versions", "select p_partkey, regexp_replace(regexp_replace(trim(p_type || ' (v)'), '[^A-Za-z0-9._\\-]+', '-', 'g'), '^[.\\-_]+|[.\\-_]+$', '', 'g') as version from part")

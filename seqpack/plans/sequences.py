@@ -41,11 +41,9 @@ def located_positions(spark, d):
 
 @query("text_pattern_count", f"with {B.TEXTS}, g as (select sym as a, lead(sym) over (partition by stream_id order by pos) as b from tok) select a || ' ' || b as pid, count(*) as n from g where a in ('the', 'of', 'de') and b is not null group by all")
 def text_pattern_count(spark, d):
-    """[A5] Pairs of words that begin with one of three words."""
-    grams = search.ngrams_of_rows(B.table(spark, d, "documents").select(F.col("doc_id").alias("stream_id"), F.split("text", " ").alias("syms")), 2)
-    sought = grams.where(F.col("gram")[0].isin("the", "of", "de"))
-    patterns = sought.select("gram").distinct().select(F.concat_ws(" ", "gram").alias("pid"), F.col("gram").alias("syms"))
-    return search.counted(sought, patterns).select("pid", "n")
+    """[A5] Pairs of words that begin with one of three words: other pairs are never made, and counts are summed before anything is shuffled."""
+    rows = B.table(spark, d, "documents").select(F.col("doc_id").alias("stream_id"), F.split("text", " ").alias("syms"))
+    return search.ngrams_of_rows(rows, 2, ("the", "of", "de")).groupBy(F.concat_ws(" ", "gram").alias("pid")).agg(F.count("*").alias("n"))
 
 
 NEXT = "g as (select stream_id, pos, sym as a, lead(sym, 1) over w as b, lead(sym, 2) over w as nxt from tok window w as (partition by stream_id order by pos)), k as (select a, b, nxt, count(*) as n from g where nxt is not null group by all), best as (select * from k qualify row_number() over (partition by a, b order by n desc, nxt) = 1)"
@@ -63,11 +61,11 @@ def draft_hit_rate(spark, d):
     return search.draft_hit_rate(B.event_tokens(spark, d), 2).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-def _asked(spark, d, every=7):
-    return B.event_tokens(spark, d).where(F.pmod("stream_id", F.lit(every)) == 0).select("stream_id").distinct()
+def _asked(spark, d):
+    return B.table(spark, d, "events").select(F.col("user_id").alias("stream_id")).distinct()
 
 
-@query("seq_access", f"with {B.EVENTS}, q as (select distinct stream_id, unnest([0, 3, 1000000]) as pos from tok where stream_id % 7 = 0) select q.stream_id * 10 + q.pos % 10 as qid, q.stream_id, q.pos::bigint as pos, sym from q left join tok using (stream_id, pos)")
+@query("seq_access", f"with {B.EVENTS}, q as (select distinct stream_id, unnest([0, 3, 1000000]) as pos from tok) select q.stream_id * 10 + q.pos % 10 as qid, q.stream_id, q.pos::bigint as pos, sym from q left join tok using (stream_id, pos)")
 def seq_access(spark, d):
     """[P1, P2] The symbol at a position."""
     q = _asked(spark, d).select("stream_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 3, 1000000)])).alias("pos"))
@@ -80,14 +78,14 @@ def seq_slice(spark, d):
     return succinct.slice_(B.event_tokens(spark, d), 2, 5)
 
 
-@query("seq_select", f"with {B.EVENTS}, n as (select *, row_number() over (partition by stream_id, sym order by pos) as k from tok), q as (select distinct stream_id, unnest(['view', 'click']) as sym from tok where stream_id % 7 = 0) select q.stream_id, q.sym, 2 as k, pos from q left join n on n.stream_id = q.stream_id and n.sym = q.sym and n.k = 2")
+@query("seq_select", f"with {B.EVENTS}, n as (select *, row_number() over (partition by stream_id, sym order by pos) as k from tok), q as (select distinct stream_id, unnest(['view', 'click']) as sym from tok) select q.stream_id, q.sym, 2 as k, pos from q left join n on n.stream_id = q.stream_id and n.sym = q.sym and n.k = 2")
 def seq_select(spark, d):
     """[P4] Where a symbol stands for the second time."""
     q = _asked(spark, d).select("stream_id", F.explode(F.array(F.lit("view"), F.lit("click"))).alias("sym")).withColumn("k", F.lit(2)).withColumn("qid", F.col("stream_id"))
     return succinct.select(B.event_tokens(spark, d), q).drop("qid")
 
 
-RANK = f"with {B.EVENTS}, q as (select distinct stream_id, unnest(['view', 'purchase']) as sym from tok where stream_id % 7 = 0), i as (select *, unnest([0, 5, 64, 100]) as i from q) select i.stream_id as qid, i.stream_id, i.sym, i.i::bigint as i, count(tok.pos) as rank from i left join tok on tok.stream_id = i.stream_id and tok.sym = i.sym and tok.pos < i.i group by all"
+RANK = f"with {B.EVENTS}, q as (select distinct stream_id, unnest(['view', 'purchase']) as sym from tok), i as (select *, unnest([0, 5, 64, 100]) as i from q) select i.stream_id as qid, i.stream_id, i.sym, i.i::bigint as i, count(tok.pos) as rank from i left join tok on tok.stream_id = i.stream_id and tok.sym = i.sym and tok.pos < i.i group by all"
 
 
 def _ranked(spark, d):
@@ -103,15 +101,15 @@ def seq_rank(spark, d):
 
 @query("seq_rank_indexed", RANK)
 def seq_rank_indexed(spark, d):
-    """[A2] The same by a block directory."""
+    """[A2] The same by a block directory alone."""
     t = B.event_tokens(spark, d)
-    return succinct.rank_indexed(t, succinct.rank_directory(t, 4), _ranked(spark, d), 4)
+    return succinct.rank_indexed(succinct.rank_directory(t), _ranked(spark, d))
 
 
-@query("rank_directory", f"with {B.EVENTS}, k as (select stream_id, sym, pos // 4 as blk, count(*) as n from tok group by all) select stream_id, sym, blk, n, coalesce(sum(n) over (partition by stream_id, sym order by blk rows between unbounded preceding and 1 preceding), 0)::bigint as before from k")
+@query("rank_directory", f"with {B.EVENTS}, k as (select stream_id, sym, pos // 4 as blk, count(*) as n, bit_or(1::bigint << (pos % 4)::int) as bits from tok group by all) select stream_id, sym, blk, n, coalesce(sum(n) over (partition by stream_id, sym order by blk rows between unbounded preceding and 1 preceding), 0)::bigint as before, bits from k")
 def rank_directory(spark, d):
     """[W5, P9] Counts before each block."""
-    return succinct.rank_directory(B.event_tokens(spark, d), 4).drop("next_blk")
+    return succinct.rank_directory(B.event_tokens(spark, d), 4)
 
 
 PLANES = f"{B.CODED}, planes as (select stream_id, pos, l.plane, ((sym >> (2 - l.plane)) & 1)::int as bit from coded, (select unnest([0, 1, 2]) as plane) l)"
@@ -123,7 +121,7 @@ def bit_planes(spark, d):
     return succinct.bit_planes(B.coded_events(spark, d), 3).groupBy("stream_id", "plane").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
 
 
-@query("bitplane_rank1", f"with {PLANES}, q as (select distinct stream_id, plane, unnest([0, 5, 40]) as i from planes where stream_id % 7 = 0) select q.stream_id, q.plane, q.i::bigint as i, count(p.pos) as rank1 from q left join (select * from planes where bit = 1) p on p.stream_id = q.stream_id and p.plane = q.plane and p.pos < q.i group by all")
+@query("bitplane_rank1", f"with {PLANES}, q as (select distinct stream_id, plane, unnest([0, 5, 40]) as i from planes) select q.stream_id, q.plane, q.i::bigint as i, count(p.pos) as rank1 from q left join (select * from planes where bit = 1) p on p.stream_id = q.stream_id and p.plane = q.plane and p.pos < q.i group by all")
 def bitplane_rank1(spark, d):
     """[A4] Ones before a position."""
     planes = succinct.bit_planes(B.coded_events(spark, d), 3)
@@ -168,6 +166,13 @@ def suffix_array(spark, d):
     return search.suffix_array(B.role_tokens(spark, d))
 
 
+@query("suffix_array_long", "with s as (select string_agg(substr(event_type, 1, 1), '' order by event_id) as s from events), f as (select unnest(range(0, length(s) + 1)) as pos, s from s) select 0::bigint as stream_id, row_number() over (order by substr(s, pos + 1)) - 1 as sa_rank, pos from f")
+def suffix_array_long(spark, d):
+    """[O1, O2, W3, W4] All events as one stream: rounds of joins and ranks, no task holds the stream."""
+    t = B.table(spark, d, "events").select(F.lit(0).cast("long").alias("stream_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("sym"))
+    return search.suffix_array_long(t)
+
+
 @query("sampled_suffix_array", f"with {SA} select stream_id, sa_rank, pos, row_number() over (partition by stream_id order by sa_rank) - 1 as mark_rank from sa where pos % 2 = 0")
 def sampled_suffix_array(spark, d):
     """[O8] Every second position and its mark."""
@@ -188,22 +193,22 @@ def pattern_ranges(spark, d):
     return search.ranges(t, suffix_array(spark, d), patterns, [2])
 
 
-SORTED = f"with {B.EVENTS} select stream_id, pos, sym from tok where stream_id % 3 = 0 and pos % 5 = 0"
+SORTED = f"with {B.EVENTS} select stream_id, pos, sym from tok order by all"
 
 
 @query("seq_access_sorted", SORTED)
 def seq_access_sorted(spark, d):
-    """[O7, P1] Access at sorted positions: the queries are many, so neither side is small."""
+    """[O7, P1] Access at sorted positions, every one of every stream: neither side is small."""
     t = B.event_tokens(spark, d)
-    q = t.where("stream_id % 3 = 0 and pos % 5 = 0").select(F.col("stream_id").alias("qid"), "stream_id", "pos")
+    q = t.select(F.col("stream_id").alias("qid"), "stream_id", "pos")
     return succinct.access(t, q).drop("qid")
 
 
-@query("seq_access_contiguous", f"with {B.EVENTS} select stream_id, pos, sym from tok where stream_id % 3 = 0 and pos < 20")
+@query("seq_access_contiguous", f"with {B.EVENTS} select stream_id, pos, sym from tok where pos < 20")
 def seq_access_contiguous(spark, d):
-    """[O7, P1] Access at contiguous positions."""
+    """[O7, P1] Access at contiguous positions: the head of every stream."""
     t = B.event_tokens(spark, d)
-    return succinct.access(t, t.where("stream_id % 3 = 0 and pos < 20").select(F.col("stream_id").alias("qid"), "stream_id", "pos")).drop("qid")
+    return succinct.access(t, t.where("pos < 20").select(F.col("stream_id").alias("qid"), "stream_id", "pos")).drop("qid")
 
 
 @query("sql_functions", f"with {B.EVENTS}, a as (select stream_id, pos, sym as x, lead(sym) over (partition by stream_id order by pos) as y from tok) select 'locate' as f, stream_id, pos, null::bigint as n from a where x = 'view' and y = 'click' union all select 'count', null, null, count(*) from a where x = 'view' and y = 'click' union all select 'rank', 3, 10, (select count(*) from tok where stream_id = 3 and sym = 'view' and pos < 10) union all select 'slice', 3, pos, length(sym) from tok where stream_id = 3 and pos >= 2 and pos < 5")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from seqpack.functions import hashes
 from seqpack.operators import control, store
 from seqpack.plans import bindings as B
 from seqpack.plans.registry import query
@@ -100,22 +104,22 @@ def batch_validation(spark, d):
     return store.unknown_items(batch, _live(spark, d)).select("event_id", "seq_id")
 
 
-@query("seq_copy", f"with {REFS} select seq_id, layer, page_id, count(*) as n from (select * from refs union all select 100000, layer, begin, n, page_id from refs where seq_id = 3 and begin >= 0 and begin + n <= 40000) where seq_id in (3, 100000) group by all")
+@query("seq_copy", f"with {REFS} select seq_id, layer, page_id, count(*) as n from (select * from refs union all select 100000, layer, begin, n, page_id from refs where seq_id = 3 and begin >= 0 and begin + n <= 40000) group by all")
 def seq_copy(spark, d):
     """[T7] A sequence and its copy share pages."""
-    return store.copied(refs(spark, d), 3, 100000, 0, 40000).where("seq_id in (3, 100000)").groupBy("seq_id", "layer", "page_id").agg(F.count("*").alias("n"))
+    return store.copied(refs(spark, d), 3, 100000, 0, 40000).groupBy("seq_id", "layer", "page_id").agg(F.count("*").alias("n"))
 
 
-@query("seq_remove", f"with {REFS} select seq_id, count(*) as n from refs where seq_id < 5 and not (seq_id = 3 and begin >= -100 and begin + n <= 1000000) group by all")
+@query("seq_remove", f"with {REFS} select seq_id, count(*) as n from refs where not (seq_id = 3 and begin >= -100 and begin + n <= 1000000) group by all")
 def seq_remove(spark, d):
     """[T8] Pages of a range gone."""
-    return store.removed(refs(spark, d).where("seq_id < 5"), 3, -100, 1000000).groupBy("seq_id").agg(F.count("*").alias("n"))
+    return store.removed(refs(spark, d), 3, -100, 1000000).groupBy("seq_id").agg(F.count("*").alias("n"))
 
 
-@query("seq_shift", f"with {REFS} select seq_id, page_id, case when seq_id = 3 and begin >= 64 and begin + n <= 100000 then begin + 128 else begin end as begin, count(*) as k from refs where seq_id = 3 and begin >= 0 group by all")
+@query("seq_shift", f"with {REFS} select seq_id, page_id, case when seq_id = 3 and begin >= 64 and begin + n <= 100000 then begin + 128 else begin end as begin, count(*) as k from refs where begin >= 0 group by all")
 def seq_shift(spark, d):
     """[T9] Pages of a range moved."""
-    return store.shifted(refs(spark, d).where("seq_id = 3 and begin >= 0"), 3, 64, 100000, 128).groupBy("seq_id", "page_id", "begin").agg(F.count("*").alias("k"))
+    return store.shifted(refs(spark, d).where("begin >= 0"), 3, 64, 100000, 128).groupBy("seq_id", "page_id", "begin").agg(F.count("*").alias("k"))
 
 
 @query("registration", "select event_id, event_type, row_number() over (partition by user_id order by ts, event_id) = 1 as accepted from events")
@@ -131,9 +135,23 @@ def circuit_states(spark, d):
     return store.latest_wins(e, ["user_id"], "at").select("user_id", "event_id", "event_type")
 
 
-@query("speculation_replay")
+#: An ordered fold as a recursive query: the state after each operation of each sequence.
+SPECULATION = f"""with recursive {B.EVENTS},
+ops as (select stream_id as seq_id, pos as seq_no, pos % 3 as n, case when pos = 0 then 'create' when sym = 'click' then 'begin' when sym = 'purchase' then 'commit' when sym = 'error' then 'rollback' else 'append' end as op from tok),
+f as (
+  select seq_id, seq_no, op, true as ok, 0::bigint as length, null::bigint as mark from ops where seq_no = 0
+  union all
+  select o.seq_id, o.seq_no, o.op, t.ok,
+    case when not t.ok then f.length when o.op = 'append' then f.length + o.n when o.op = 'commit' then f.mark + o.n when o.op = 'rollback' then f.mark else f.length end,
+    case when not t.ok then f.mark when o.op = 'begin' then f.length when o.op in ('commit', 'rollback') then null else f.mark end
+  from f join ops o on o.seq_id = f.seq_id and o.seq_no = f.seq_no + 1,
+  lateral (select case o.op when 'append' then o.n > 0 when 'begin' then f.mark is null when 'commit' then f.mark is not null and o.n <= f.length - f.mark when 'rollback' then f.mark is not null else false end as ok) t)
+select seq_id, seq_no, op, ok, length, mark is not null as speculating from f"""
+
+
+@query("speculation_replay", SPECULATION)
 def speculation_replay(spark, d):
-    """[T6, T10, T11, T23] Replay of a log for each user: an ordered fold, held against hand-made logs in the tests."""
+    """[T6, T10, T11, T23] Replay of a log for each user: an ordered fold."""
     op = F.when(F.col("pos") == 0, "create").when(F.col("sym") == "view", "append").when(F.col("sym") == "click", "begin").when(F.col("sym") == "purchase", "commit").when(F.col("sym") == "error", "rollback").otherwise("append")
     t = B.event_tokens(spark, d).select(F.col("stream_id").alias("seq_id"), F.col("pos").alias("seq_no"), op.alias("op"), (F.col("pos") % 3).alias("n"))
     return store.fold(t)
@@ -152,11 +170,11 @@ def placement_layers(spark, d):
     return control.layer_devices(80, devices(spark, d))
 
 
-@query("placement_sequences", "with m as (select user_id as seq_id, max_by(event_id % 25, event_id) as moved from events where event_type = 'error' group by all) select c_custkey as seq_id, coalesce(moved, c_custkey % 25)::int as device from customer left join m on seq_id = c_custkey")
+@query("placement_sequences", f"with v as (select c_custkey as seq_id, xor(c_custkey::uhugeint, 7::uhugeint) as v from customer), {B.mixed_sql('v', ['v'])}, m as (select user_id as seq_id, max_by(event_id % 25, event_id) as moved from events where event_type = 'error' group by all) select seq_id, coalesce(moved, m_v % 25)::int as device from mixed left join m using (seq_id)")
 def placement_sequences(spark, d):
-    """[T21] By hash unless moved."""
+    """[P32, T21] By the mixed hash of id and seed unless moved."""
     moves = B.table(spark, d, "events").where("event_type = 'error'").selectExpr("user_id as seq_id", "event_id as seq_no", "cast(event_id % 25 as int) as device")
-    return control.placed(B.table(spark, d, "customer").selectExpr("c_custkey as seq_id"), 25, moves)
+    return control.placed(B.table(spark, d, "customer").selectExpr("c_custkey as seq_id"), 25, moves, 7)
 
 
 @query("peer_links", f"with {DEVICES} select x.ordinal as a, y.ordinal as b from dev x join dev y on x.peer_group = y.peer_group and x.ordinal < y.ordinal")
@@ -203,12 +221,25 @@ def lease_fencing(spark, d):
     return control.fenced(c, l, F.lit(1000)).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("lease_replay")
+#: A token names page, owner and generation, so claims of these stand for tokens here.
+LEASES = f"""with recursive {B.EVENTS},
+ops as (select stream_id as page, pos as seq_no, case when sym in ('view', 'error') then 'acquire' when sym = 'click' then 'renew' else 'transfer' end as op, pos % 7 as worker, pos // 4 + 1 as generation, (pos + 6) % 7 as holder, pos * 10 as at from tok),
+f as (
+  select page, -1::bigint as seq_no, ''::varchar as op, false as ok, 0::bigint as owner, 0::bigint as generation, -1::bigint as expires_at from (select distinct page from ops)
+  union all
+  select o.page, o.seq_no, o.op, t.ok, case when t.ok and o.op <> 'renew' then o.worker else f.owner end, case when t.ok and o.op <> 'renew' then f.generation + 1 else f.generation end, case when t.ok then o.at + 25 else f.expires_at end
+  from f join ops o on o.page = f.page and o.seq_no = f.seq_no + 1,
+  lateral (select case when o.op = 'acquire' then o.worker <> 0 and f.expires_at <= o.at else f.generation > 0 and o.generation = f.generation and o.holder = f.owner and (o.op = 'renew' or o.worker <> 0) end as ok) t)
+select page, seq_no, op, ok, owner, generation, expires_at from f where seq_no >= 0"""
+
+
+@query("lease_replay", LEASES)
 def lease_replay(spark, d):
-    """[T17, P35] Leases acquired, renewed and transferred: an ordered fold, held against hand-made logs in the tests."""
+    """[T17, P35] Leases acquired, renewed and transferred under generation and token: an ordered fold."""
     op = F.when(F.col("sym").isin("view", "error"), "acquire").when(F.col("sym") == "click", "renew").otherwise("transfer")
     t = B.event_tokens(spark, d).select(F.col("stream_id").alias("page"), F.col("pos").alias("seq_no"), op.alias("op"), (F.col("pos") % 7).alias("worker"), (F.expr("pos div 4") + 1).alias("generation"), (F.col("pos") * 10).alias("at"))
-    return control.leases(t, 25)
+    t = t.withColumn("token", control.page_token(F.col("page"), (F.col("seq_no") + 6) % 7, F.col("generation")))
+    return control.leases(t, 25).drop("token")
 
 
 @query("transfer_verdicts", "select case when l_returnflag = 'R' then 'not authenticated' when l_tax > 0.07 then 'integrity' when l_linestatus = 'O' and l_discount > 0.05 then 'incomplete' when l_quantity > 45 then 'size' else 'accepted' end as verdict, count(*) as n from lineitem group by all")
@@ -229,26 +260,35 @@ ROLE = "case event_type when 'view' then 'router' when 'click' then 'prefill' wh
 OPERATION = "case event_id % 9 " + " ".join(f"when {i} then '{o}'" for i, o in enumerate(control.OPERATIONS)) + " else 'unknown' end"
 
 
-@query("authz_matrix", f"with m as (select unnest({[f'{r}/{o}' for o, roles in control.OPERATIONS.items() for r in roles]}) as pair), e as (select {ROLE} as role, {OPERATION} as operation, user_id % 4 as tenant, event_id % 4 as resource_tenant from events) select role, operation, count(*) as n, count_if((role || '/' || operation) in (select pair from m) and (role = 'admin' or tenant = resource_tenant))::bigint as allowed from e group by all")
+@query("authz_matrix", f"with m as (select unnest({[f'{r}/{o}' for o, roles in control.OPERATIONS.items() for r in roles]}) as pair), e as (select {ROLE} as role, {OPERATION} as operation, user_id % 4 as tenant, event_id % 4 as resource_tenant from events) select role, operation, count(*) as n, count_if((role || '/' || operation) in (select pair from m) and (role = 'admin' or resource_tenant = 0 or tenant = resource_tenant))::bigint as allowed from e group by all")
 def authz_matrix(spark, d):
     """[P39, F12, T15] Which requests a role may make."""
     e = B.table(spark, d, "events").selectExpr(f"{ROLE} as role", f"{OPERATION} as operation", "user_id % 4 as tenant", "event_id % 4 as resource_tenant")
     return control.authorized(e, control.role_table(spark)).groupBy("role", "operation").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"))
 
 
-@query("identity_checks", "select case when not (value > 20 and value < 480) then 'outside its time' when event_id % 4 = 3 then 'valid' when event_id % 4 = 2 then case when value <= 300 then 'grace' else 'old key' end else 'old key' end as verdict, count(*) as n from events group by all")
+@query("identity_checks", "select case when k not in (2, 3) then 'stale key' when k = 3 and now > 300 then 'out of grace' when now < 20 or now > 450 then 'outside its time' when k = 2 then 'valid' else 'grace' end as verdict, count(*) as n from (select event_id % 4 as k, floor(value)::bigint as now from events where value is not null) group by all")
 def identity_checks(spark, d):
-    """[F11, T15] Peers by time and key generation; a peer's own clock decides about the grace."""
-    e = B.table(spark, d, "events").selectExpr("20 as after", "value", "event_id % 4 as key_generation", "value - 20 as since", "480 - value as left").selectExpr("0 as not_before", "cast(480 - 20 as double) as not_after", "key_generation", "value - 20 as now", "value").where("value is not null")
-    e = e.withColumn("not_before", F.lit(0.000000001))
-    return e.groupBy(control.identity_verdict(F.col("now"), F.lit(3), F.lit(280.0)).alias("verdict")).agg(F.count("*").alias("n"))
+    """[F11, T15] Peers by time and key generation: 2 is current, 3 follows, within 200 of a rotation at 100."""
+    e = B.table(spark, d, "events").where("value is not null").select((F.col("event_id") % 4).alias("key_generation"), F.floor("value").alias("now"), F.lit(20).alias("not_before"), F.lit(450).alias("not_after"))
+    return e.groupBy(control.identity_verdict(F.col("now"), F.lit(2), F.lit(3), F.lit(100), F.lit(200)).alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query("replay_dedupe", "with t as (select event_id as token_id, user_id * 10 + event_id % 5 as nonce, event_id as seen_at, event_id - (event_id % 40) as issued_at from events) select token_id, case when abs(seen_at - issued_at) > 30 then 'outside the window' when row_number() over (partition by nonce order by seen_at, token_id) = 1 then 'accepted' else 'replayed' end as verdict from t")
+@query("key_rotation", "with r as (select event_id as seq_no, event_id % 9 as following, event_id * 10 as moment from events where event_type = 'signup'), l as (select following, moment from r where following > 4 qualify row_number() over (order by seq_no desc) = 1) select 4 as current, coalesce((select following from l), 0) as following, coalesce((select moment from l), 0) as rotated_at")
+def key_rotation(spark, d):
+    """[T15] The last rotation to a later key."""
+    r = B.table(spark, d, "events").where("event_type = 'signup'").selectExpr("event_id as seq_no", "event_id % 9 as following", "event_id * 10 as at")
+    return control.rotated(spark.range(1).select(F.lit(4).alias("current")), r)
+
+
+TOKENS = "t as (select event_id as token_id, user_id % 3 as peer, event_id // 4 % 50 as nonce, event_id // 100 * 100 as issued_at, user_id % 2 as operation, event_id - event_id % 7 as seen_at from events)"
+
+
+@query("replay_dedupe", f"with {TOKENS}, {B.mixed_sql('t', ['peer', 'nonce', 'issued_at', 'operation'])}, v as (select *, xor(xor(m_peer, m_nonce), xor(m_issued_at, m_operation)) as h, peer <> 0 and nonce <> 0 as sound, issued_at between greatest(0, seen_at - 60) and seen_at + 60 as timely from mixed) select token_id, case when not sound then 'invalid' when not timely then 'outside the window' when row_number() over (partition by h, sound and timely order by seen_at, token_id) = 1 then 'accepted' else 'replayed' end as verdict from v")
 def replay_dedupe(spark, d):
-    """[F13, T14] Tokens accepted once."""
-    t = B.table(spark, d, "events").selectExpr("event_id as token_id", "user_id * 10 + event_id % 5 as nonce", "event_id as seen_at", "event_id - (event_id % 40) as issued_at")
-    return control.fresh_tokens(t, 30).select("token_id", "verdict")
+    """[F13, P33, T14] Tokens accepted once."""
+    t = B.table(spark, d, "events").selectExpr("event_id as token_id", "user_id % 3 as peer", "event_id div 4 % 50 as nonce", "event_id div 100 * 100 as issued_at", "user_id % 2 as operation", "event_id - event_id % 7 as seen_at")
+    return control.fresh_tokens(t, 60).select("token_id", "verdict")
 
 
 @query("audit_chain", f"with recursive {B.EVENTS}, c as (select stream_id, pos, sha256(sym) as chain from tok where pos = 0 union all select tok.stream_id, tok.pos, sha256(c.chain || tok.sym) from c join tok on tok.stream_id = c.stream_id and tok.pos = c.pos + 1), n as (select stream_id, count(*) as links from tok group by all) select c.stream_id, c.chain, n.links from c join n on n.stream_id = c.stream_id and c.pos = n.links - 1")
@@ -294,11 +334,52 @@ def fairness_scores(spark, d):
     return t.withColumn("weight", 1 + F.col("tenant") % 4).withColumn("priority", F.col("tenant") % 3).select("tenant", control.fairness().alias("score"))
 
 
-@query("scheduler_replay")
+_OP = "case when s_suppkey % 4 = 3 then 'complete' when s_suppkey % 13 = 6 then 'cancel' else 'admit' end"
+#: The log of decisions: suppliers in order of their key. The state of three tenants and all held requests goes from row to row.
+SCHEDULER = f"""with recursive ops as (
+  select row_number() over (order by s_suppkey) - 1 as seq_no, s_suppkey as k, {_OP} as op, s_suppkey - case when s_suppkey % 4 = 3 then 2 when s_suppkey % 13 = 6 then 1 else 0 end as request_id, (s_suppkey * 7 % 5)::int as tenant, s_suppkey % 5 as model_id, s_suppkey % 3 as priority,
+    10 + s_suppkey % 40 as prompt_tokens, 20 + s_suppkey % 30 as completion_tokens, s_suppkey % 9 as cached_tokens, s_suppkey % 2 as deadline, s_suppkey % 25 as generated, 100 * (s_suppkey % 11) as gpu_us from supplier),
+w as (select n_nationkey + 1 as worker_id, n_nationkey % 4 as state, n_nationkey % 6 = 0 as circuit_open, 1 + n_nationkey % 15 as model_mask, 500 + n_nationkey * 10 as prefill_rate, 100 + n_nationkey as decode_rate, n_nationkey % 5 + n_nationkey % 4 as load from nation),
+best as (
+  select seq_no, worker_id, greatest(0, prompt_tokens - cached_tokens) * 1000000 // prefill_rate as prefill_us, completion_tokens * 1000000 // decode_rate as decode_us
+  from ops join w on op = 'admit' and state < 2 and not circuit_open and (model_mask & (1::bigint << model_id::int)) <> 0
+  qualify row_number() over (partition by seq_no order by case when deadline > 0 then greatest(0, prompt_tokens - cached_tokens) * 1000000 // prefill_rate + completion_tokens * 1000000 // decode_rate else 0 end + load * 1000, worker_id) = 1),
+p as (select tenant, 1 + tenant as weight, 2 + tenant as concurrent, 2 as waiting, 900 - 100 * tenant as prompt_quota, 600 as completion_quota, 3000 as gpu_budget from (select unnest([0, 1, 2, 3]) as tenant)),
+log as (select ops.*, coalesce(worker_id, 0) as worker_id, coalesce(prefill_us, 0) as prefill_us, coalesce(decode_us, 0) as decode_us, coalesce(weight, 0) as weight, coalesce(concurrent, 0) as concurrent, coalesce(waiting, 0) as waiting, coalesce(prompt_quota, 0) as prompt_quota, coalesce(completion_quota, 0) as completion_quota, coalesce(gpu_budget, 0) as gpu_budget from ops left join best using (seq_no) left join p using (tenant)),
+f as (
+  select -1::bigint as seq_no, ''::varchar as result, 0::bigint as place, 0::bigint as fair, list_value(0, 0, 0, 0, 0)::bigint[] as active, list_value(0, 0, 0, 0, 0)::bigint[] as queued, list_value(0, 0, 0, 0, 0)::bigint[] as prompt, list_value(0, 0, 0, 0, 0)::bigint[] as done, list_value(0, 0, 0, 0, 0)::bigint[] as gpu, list_value(0, 0, 0, 0, 0)::bigint[] as runtime, []::struct(id bigint, t integer, q boolean)[] as held, []::bigint[] as billed
+  union all
+  select l.seq_no, r.result, case when r.result = 'queue' then list_sum(f.queued) + 1 else 0 end::bigint, case when r.result in ('now', 'queue') then greatest(0, (f.runtime[l.tenant + 1] + l.prompt_tokens + l.completion_tokens) // l.weight - l.priority * 1000) else 0 end::bigint,
+    list_transform(f.active, lambda x, i: x + case when r.result = 'now' and i = l.tenant + 1 then 1 when r.result = 'done' and not h.h.q and i = h.h.t + 1 then -1 else 0 end)::bigint[],
+    list_transform(f.queued, lambda x, i: x + case when r.result = 'queue' and i = l.tenant + 1 then 1 when r.result = 'done' and h.h.q and i = h.h.t + 1 then -1 else 0 end)::bigint[],
+    list_transform(f.prompt, lambda x, i: x + case when r.result in ('now', 'queue') and i = l.tenant + 1 then l.prompt_tokens else 0 end)::bigint[],
+    list_transform(f.done, lambda x, i: x + case when r.result = 'done' and l.op = 'complete' and i = h.h.t + 1 then l.generated else 0 end)::bigint[],
+    list_transform(f.gpu, lambda x, i: x + case when r.result = 'done' and l.op = 'complete' and i = h.h.t + 1 then l.gpu_us else 0 end)::bigint[],
+    list_transform(f.runtime, lambda x, i: x + case when r.result in ('now', 'queue') and i = l.tenant + 1 then l.prompt_tokens + l.completion_tokens else 0 end)::bigint[],
+    case when r.result in ('now', 'queue') then list_append(f.held, struct_pack(id := l.request_id, t := l.tenant, q := r.result = 'queue')) when r.result = 'done' then list_filter(f.held, lambda x: x.id <> l.request_id) else f.held end,
+    case when r.result = 'done' and l.op = 'complete' then list_append(f.billed, l.request_id) else f.billed end
+  from f join log l on l.seq_no = f.seq_no + 1,
+  lateral (select list_filter(f.held, lambda x: x.id = l.request_id)[1] as h) h,
+  lateral (select case
+    when l.op = 'admit' then case when l.request_id = 0 or h.h is not null or l.weight = 0 then 'refused' when f.prompt[l.tenant + 1] + l.prompt_tokens > l.prompt_quota or f.done[l.tenant + 1] + l.completion_tokens > l.completion_quota or f.gpu[l.tenant + 1] >= l.gpu_budget then 'quota' when l.worker_id = 0 then 'model'
+      when list_sum(f.active) < 8 and f.active[l.tenant + 1] < l.concurrent then 'now' when list_sum(f.queued) >= 5 or f.queued[l.tenant + 1] >= l.waiting then 'overload' else 'queue' end
+    when h.h is null then 'refused' when l.op = 'complete' and list_contains(f.billed, l.request_id) then 'duplicate' else 'done' end as result) r)
+select l.seq_no, l.op, l.request_id, l.tenant::bigint as tenant, f.result, case when f.result in ('now', 'queue') then l.worker_id else 0 end::bigint as worker_id, case when f.result in ('now', 'queue') then prefill_us else 0 end::bigint as prefill_us, case when f.result in ('now', 'queue') then decode_us else 0 end::bigint as decode_us,
+  case when f.result in ('now', 'queue') then prompt_tokens * 1024 else 0 end::bigint as kv_bytes, f.place as queue_position, f.fair as fairness, list_sum(f.active)::bigint as active, list_sum(f.queued)::bigint as queued
+from f join log l on l.seq_no = f.seq_no"""
+
+
+@query("scheduler_replay", SCHEDULER)
 def scheduler_replay(spark, d):
-    """[T19, F6, A35] A log of decisions replayed: one ordered fold, held against hand-made logs in the tests."""
-    ops = B.table(spark, d, "supplier").selectExpr("s_suppkey as seq_no", "if(s_suppkey % 4 = 3, 'complete', 'admit') as op", "s_suppkey - if(s_suppkey % 4 = 3, 2, 0) as request_id", "s_suppkey % 3 as tenant", "100 + s_suppkey as prompt_tokens", "50L as completion_tokens", "0L as priority", "1L as weight", "4000L as quota", "8L as concurrent")
-    return control.replay(ops, 12, 10)
+    """[T19, F6, A35, J16, O5] A log of decisions replayed under quotas, models, concurrency and queues: one ordered fold."""
+    place = F.row_number().over(Window.orderBy("s_suppkey")) - 1  # a log of decisions is one order
+    ops = B.table(spark, d, "supplier").withColumn("seq_no", place.cast("long")).selectExpr(
+        "seq_no", f"{_OP} as op", "s_suppkey - case when s_suppkey % 4 = 3 then 2 when s_suppkey % 13 = 6 then 1 else 0 end as request_id", "s_suppkey * 7 % 5 as tenant", "s_suppkey % 5 as model_id", "s_suppkey % 3 as priority",
+        "10 + s_suppkey % 40 as prompt_tokens", "20 + s_suppkey % 30 as completion_tokens", "s_suppkey % 9 as cached_tokens", "s_suppkey % 2 as deadline", "s_suppkey % 25 as generated", "100 * (s_suppkey % 11) as gpu_us",
+    )
+    tenants = spark.range(4).selectExpr("id as tenant", "1 + id as weight", "2 + id as concurrent", "2L as queued", "900 - 100 * id as prompt_quota", "600L as completion_quota", "3000L as gpu_budget")
+    w = B.table(spark, d, "nation").selectExpr("n_nationkey + 1 as worker_id", "n_nationkey % 4 as state", "n_nationkey % 6 = 0 as circuit_open", "1 + n_nationkey % 15 as model_mask", "500 + n_nationkey * 10 as prefill_rate", "100 + n_nationkey as decode_rate", "n_nationkey % 5 as queue_depth", "n_nationkey % 4 as active")
+    return control.replay(ops, tenants, w, 8, 5)
 
 
 @query("scale_plan", "with q as (select count_if(o_orderstatus = 'P') as queued from orders), h as (select count_if(s_suppkey % 4 = 0 and s_suppkey % 6 <> 0) as healthy from supplier) select (greatest(1, healthy // 2) + case when queued > 10 then 1 else 0 end)::bigint as prefill, (greatest(2, healthy - healthy // 2) + case when queued > 10 then 1 else 0 end)::bigint as decode, (case when queued > 10 then 2 else 1 end)::int as replicas from q, h")
@@ -316,8 +397,40 @@ def shard_validity(spark, d):
     return control.valid_shards(s, devices(spark, d)).groupBy(F.concat_ws(",", "reasons").alias("reasons")).agg(F.count("*").alias("n"))
 
 
-@query("scenario_coverage", "with s as (select unnest(['baseline', 'long context', 'many sequences', 'shared prefix', 'speculation', 'migration', 'worker failure', 'overload', 'soak']) as name) select name, (select count(*) from events where event_id % 9 = list_position(['baseline', 'long context', 'many sequences', 'shared prefix', 'speculation', 'migration', 'worker failure', 'overload', 'soak'], name) - 1) as evidence from s")
+NAMES = list(control.SCENARIOS)
+
+
+@query("scenario_coverage", f"with s as (select unnest({NAMES}) as name, generate_subscripts({NAMES}, 1) - 1 as i) select name, (select count(*) from events where event_id % 11 = i) as evidence from s")
 def scenario_coverage(spark, d):
     """[E4, E5] How much evidence there is of each scenario."""
-    e = B.table(spark, d, "events").groupBy((F.col("event_id") % 9).cast("int").alias("scenario_id")).agg(F.count("*").alias("evidence"))
+    e = B.table(spark, d, "events").groupBy((F.col("event_id") % 11).cast("int").alias("scenario_id")).agg(F.count("*").alias("evidence"))
     return control.scenarios(spark).join(e, "scenario_id", "left").select("name", F.coalesce("evidence", F.lit(0)).alias("evidence"))
+
+
+_WORDS = "p as (select p_partkey, p_size::bigint as tenant, p_partkey % 5 as model, p_partkey * 1000003 as page, 1 + p_size::bigint * 64 as bytes, p_partkey * 31 as checksum, p_partkey % 4 as lease, p_partkey % 10 as owner, (1::bigint << 32) | 2 as versions from part)"
+
+
+def _sql_digest() -> tuple[str, str]:
+    """The digest's first word as a chain of SQL steps, each word mixed into the state with its place, and the last step."""
+    out, source = "", f"(select *, xor(1::uhugeint, {hashes.DIGEST_START}::uhugeint) as v from p)"
+    words = ("tenant", "model", "page", "bytes", "checksum", "lease", "owner", "versions")
+    for k in range(len(words) + 2):
+        steps = B.mixed_sql(source, ["v"])
+        for name in ("mixed0", "mixed1", "mixed"):
+            steps = re.sub(rf"\b{name}\b", f"s{k}_{name}", steps)
+        out += (", " if k else "") + steps
+        word = f"xor(xor(m_v, {words[k]}::uhugeint), {k}::uhugeint)" if k < len(words) else "m_v"
+        source = f"(select * exclude (v, m_v), {word} as v from s{k}_mixed)"
+    return out, f"s{len(words) + 1}_mixed"
+
+
+_DIGEST, _LAST = _sql_digest()
+
+
+@query("manifest_digests", f"with {_WORDS}, {_DIGEST} select p_partkey, printf('%016x', m_v::ubigint) as head from {_LAST}")
+def manifest_digests(spark, d):
+    """[P33, T16] The first word of each manifest's 32-byte digest under key generation 1."""
+    p = B.table(spark, d, "part").selectExpr("p_partkey", "cast(p_size as long) as tenant", "p_partkey % 5 as model", "p_partkey * 1000003 as page", "1 + cast(p_size as long) * 64 as bytes", "p_partkey * 31 as checksum", "p_partkey % 4 as lease", "p_partkey % 10 as owner", "(1L << 32) | 2L as versions")
+    digest = hashes.digest32([F.col(c) for c in ("tenant", "model", "page", "bytes", "checksum", "lease", "owner", "versions")], F.lit(1))
+    first = F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring("digest", i * 2 + 1, F.lit(2)))), "")
+    return p.withColumn("digest", digest).select("p_partkey", first.alias("head"))

@@ -105,10 +105,10 @@ def recompress_error(spark, d):
     return twice.groupBy("page").agg(F.round(F.max(F.abs(F.col("x") - F.col("back"))), 6).alias("max_error"))
 
 
-@query("nibble_roundtrip", f"{PAGED}, s as (select *, max(abs(x)) over (partition by page) / 7 as s from pg) select page, idx::int as idx, greatest(-8, least(7, round_even(x / s, 0)::int)) as q from s where page < 2")
+@query("nibble_roundtrip", f"{PAGED}, s as (select *, max(abs(x)) over (partition by page) / 7 as s from pg) select page, idx::int as idx, greatest(-8, least(7, round_even(x / s, 0)::int)) as q from s")
 def nibble_roundtrip(spark, d):
-    """[P22, P24] Codes of two pages packed in half bytes and unpacked."""
-    q = codec.quantized(_pages(spark, d), ["page"], 4).where("page < 2").select("page", "idx", "q")
+    """[P22, P24] Codes of all pages packed in half bytes and unpacked."""
+    q = codec.quantized(_pages(spark, d), ["page"], 4).select("page", "idx", "q")
     return codec.from_nibbles(codec.nibbles(q, ["page"]), ["page"]).withColumn("idx", F.col("idx").cast("int"))
 
 
@@ -183,13 +183,13 @@ def delta_footprint(spark, d):
     return kv.delta_footprint(base, delta, t).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("quant_matmul", f"{V}, w as (select token as m, dim as k, x, max(abs(x)) over (partition by token) / 7 as s from vec where token < 64), i as (select token as b, dim as k, x as v from vec where token between 64 and 79) select b, m, round(sum(v * greatest(-8, least(7, round_even(x / s, 0))) * s), 5) + 0 as y from i join w using (k) group by all")
+@query("quant_matmul", f"{V}, w as (select token as m, dim as k, x, max(abs(x)) over (partition by token) / 7 as s from vec), i as (select page as b, dim as k, avg(x) as v from vec group by all) select b, m, round(sum(v * greatest(-8, least(7, round_even(x / s, 0))) * s), 4) + 0 as y from i join w using (k) group by all")
 def quant_matmul(spark, d):
-    """[A30, P12] Vectors times int4 rows."""
+    """[A30, P12] The mean vector of each page times the int4 rows of all tokens."""
     v = B.vectors(spark, d)
-    w = codec.quantized(v.where("token < 64"), ["token"], 4).select(F.col("token").alias("m"), F.col("dim").alias("k"), "q", "s")
-    i = v.where("token between 64 and 79").select(F.col("token").alias("b"), F.col("dim").alias("k"), F.col("x").alias("v"))
-    return kv.matmul(i, w).withColumn("y", F.round("y", 5) + F.lit(0.0))
+    w = codec.quantized(v, ["token"], 4).select(F.col("token").alias("m"), F.col("dim").alias("k"), "q", "s")
+    i = v.groupBy(F.col("page").alias("b"), F.col("dim").alias("k")).agg(F.avg("x").alias("v"))
+    return kv.matmul(i, w).withColumn("y", F.round("y", 4) + F.lit(0.0))
 
 
 HEAD = 16
@@ -221,11 +221,11 @@ def attention_window(spark, d):
     return _flat(kv.attention(q, h, 16, HEAD))
 
 
-@query("attention_full", f"{ATTN}, {_attn(_pairs(0) + ' where q.token % 8 = 0')} select qpos, qhead, i::int as i, round(o, 5) + 0 as o from o")
+@query("attention_full", f"{ATTN}, {_attn(_pairs(0))} select qpos, qhead, i::int as i, round(o, 5) + 0 as o from o")
 def attention_full(spark, d):
-    """[J7] Every eighth token attends to its whole history."""
+    """[J7] Each token attends to its whole history."""
     q, h = _hist(spark, d)
-    return _flat(kv.attention(q.where("qpos % 8 = 0"), h, 0, HEAD))
+    return _flat(kv.attention(q, h, 0, HEAD))
 
 
 @query("attention_gqa", f"{ATTN}, g as (select token, unnest([head * 2, head * 2 + 1]) as qhead, v from h), {_attn(f'select g.token as qpos, g.qhead, list_dot_product(g.v, h.v) * (1 + g.qhead % 2) / sqrt({HEAD}) as s, h.v as vv from g join h on h.head = g.qhead // 2 and h.token between g.token - 7 and g.token')} select qpos, qhead, i::int as i, round(o, 5) + 0 as o from o")
@@ -239,7 +239,7 @@ def attention_gqa(spark, d):
 TAIL = f"{V}, edge as (select max(token) // 64 * 64 as first from vec), s as (select *, max(abs(x)) over (partition by page, dim) / 7 as s from vec), c as (select token, dim, x, case when token < first then greatest(-7, least(7, round(x / s))) * s else x end as y from s, edge), h as (select token, dim // {HEAD} as head, list(y order by dim) as v from c group by all), qq as (select token, dim // {HEAD} as head, list(x order by dim) as v from vec group by all), "
 
 
-@query("attention_paged_tail", TAIL + _attn(f"select q.token as qpos, q.head as qhead, list_dot_product(q.v, h.v) / sqrt({HEAD}) as s, h.v as vv from qq q join h on h.head = q.head and h.token between q.token - 15 and q.token where q.token % 4 = 0") + " select qpos, qhead, i::int as i, round(o, 5) + 0 as o from o")
+@query("attention_paged_tail", TAIL + _attn(f"select q.token as qpos, q.head as qhead, list_dot_product(q.v, h.v) / sqrt({HEAD}) as s, h.v as vv from qq q join h on h.head = q.head and h.token between q.token - 15 and q.token") + " select qpos, qhead, i::int as i, round(o, 5) + 0 as o from o")
 def attention_paged_tail(spark, d):
     """[X1, J7, P18, T2, A38] Sealed int4 pages and the dense tail are one history."""
     v = B.vectors(spark, d)
@@ -248,7 +248,7 @@ def attention_paged_tail(spark, d):
     sealed = codec.quantized(v.where("token < first"), ["page", "dim"], 4, "away").select("token", "dim", F.col("back").alias("x"))
     history = kv.heads(sealed.unionByName(v.where("token >= first").select("token", "dim", "x")), HEAD)
     q, _ = _hist(spark, d)
-    return _flat(kv.attention(q.where("qpos % 4 = 0"), history.select("token", "head", F.col("v").alias("k"), "v"), 16, HEAD))
+    return _flat(kv.attention(q, history.select("token", "head", F.col("v").alias("k"), "v"), 16, HEAD))
 
 
 @query("softmax_merge", f"{V} select token, round(sum(exp(x) * dim) / sum(exp(x)), 6) as out from vec group by all")

@@ -14,31 +14,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SEALED = "stream_id long, page long, n int, syms string, status string"
-STATE = "next long, tail string"
+STATE = "next long, tail array<string>"
 
 
-def append_seal(stream: DataFrame, page: int, wait: str = "NoTimeout") -> DataFrame:
+def append_seal(stream: DataFrame, page: int) -> DataFrame:
     """[T1, T3, T26] A stream of appends (stream_id, pos, sym) as sealed pages of so many symbols, and refusals.
 
     State of a key: the next position and the active tail. Rows of a batch are put in order; a row that was appended before is
-    refused as `duplicate`, one that leaves a gap as `gap`.
+    refused as `duplicate`, one that leaves a gap as `gap`. Any symbol may stand in the tail, null and the empty one too; in a
+    page's text a null symbol is left out.
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, tail = state.get if state.exists else (0, "")
-        tail_syms = tail.split("\x1f") if tail else []
+        at, tail = state.get if state.exists else (0, [])
+        tail_syms = list(tail)
         out = []
         rows = pd.concat(batches).sort_values("pos")
         for pos, sym in zip(rows["pos"], rows["sym"], strict=True):
+            sym = None if sym is None or sym != sym else sym
             if pos != at:
                 out.append((key[0], pos // page, 1, sym, "duplicate" if pos < at else "gap"))
                 continue
             at += 1
             tail_syms.append(sym)
             if len(tail_syms) == page:
-                out.append((key[0], (at - 1) // page, page, " ".join(tail_syms), "sealed"))
+                out.append((key[0], (at - 1) // page, page, " ".join(x for x in tail_syms if x is not None), "sealed"))
                 tail_syms = []
-        state.update((at, "\x1f".join(tail_syms)))
+        state.update((at, tail_syms))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SEALED.split(", ")])
 
     return stream.groupBy("stream_id").applyInPandasWithState(step, SEALED, STATE, "append", GroupStateTimeout.NoTimeout)

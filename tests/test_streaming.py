@@ -29,6 +29,12 @@ def test_pages_are_sealed_and_gaps_refused(spark, tmp_path):
     assert out == [(1, 0, 1, "b", "duplicate"), (1, 0, 2, "a b", "sealed"), (1, 1, 2, "c d", "sealed"), (2, 0, 1, "x", "gap")]
 
 
+def test_any_symbol_stays_in_the_tail(spark, tmp_path):
+    files = [[(1, 0, ""), (1, 1, "x\x1fy")], [(1, 2, None), (1, 3, "d"), (1, 4, "")], [(1, 5, ""), (1, 6, "e"), (1, 7, "f")]]
+    out = run(spark, tmp_path, "stream_id long, pos long, sym string", files, lambda s: streams.append_seal(s, 4), "tail")
+    assert out == [(1, 0, 4, " x\x1fy d", "sealed"), (1, 1, 4, "  e f", "sealed")]
+
+
 def test_tokens_are_fresh_once(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     files = [[("n1", at), ("n1", at)], [("n1", at + dt.timedelta(seconds=5)), ("n2", at)]]
