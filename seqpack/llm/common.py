@@ -86,6 +86,24 @@ def sweep(spark: SparkSession, since: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: A key is hot when it has more than one in so many of all rows; there are so many hot keys at most.
+HOT = 4096
+
+
+def hot_keys(many: DataFrame, key: str) -> DataFrame:
+    """(key): the keys that have more than one in HOT of all rows, HOT of them at most; a written table."""
+    counted = cut(many.groupBy(key).agg(F.count("*").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return cut(counted.where(F.col("n") > F.lit(total // HOT)).where("n > 1").select(key))
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """many with the columns of few, whose keys are unique. Rows of hot keys stay where they are and meet few's rows of these keys, HOT at most, in a broadcast; the rest is shuffled."""
+    own = F.broadcast(hot)
+    here = many.join(own, key, "left_semi").join(F.broadcast(few.join(own, key, "left_semi")), key)
+    return here.unionByName(many.join(own, key, "left_anti").join(few.join(own, key, "left_anti").hint("merge"), key))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of each sum to limit bytes, or to one row where a row is longer."""
     for batch in batches:

@@ -5,11 +5,12 @@ Sketches are made by fast similarity sketching: in round r every element throws
 coordinates, first at random, from round t on into coordinate r - t alone, so that after 2t rounds at most none is empty;
 a coordinate keeps its least (round, hash). Runs of coordinates are banded into bucket keys.
 
-No pairs are listed. Nodes (distinct sets) that share a bucket, directly or through others, form a family: star edges from each
-bucket's least node, closed to components over ids alone. A family's full sets then meet once, in blocks of bounded size: inside
-a task every two sets that share a key, fit in size and are not yet linked are compared whole, and each block (or pair of blocks
-of one large family) gives the stars of what it linked. Closing these to components gives the classes; any two sets that share a
-bucket are so either in one class or were compared.
+No pairs are listed. In a first pass every bucket's sets are compared whole with its least set: sets near that one meet in chunks
+of bounded size, and what is linked forms classes. Buckets whose sets are then of one class are done, which true copies are
+mostly. The sets of the other buckets, directly or through shared ones, form families. A family's sets are dealt to blocks of
+bounded size, large classes to blocks of their own; every two blocks meet but those of one class. Inside a task every two sets of
+different classes that share a key and fit in size are compared whole. So any two sets that share a bucket are in one class or
+were compared. Links of both passes are closed to components, which are the classes.
 
 Defined results: null or empty text: empty set, linked with nothing. Equal sets form one class whatever doc_id they carry; rows
 that repeat a doc_id keep a row each. A null doc_id never names a component unless all of its members lack one. Extra columns
@@ -23,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqpack.llm import common
@@ -111,7 +112,7 @@ def _sketched(batches, percent):
 
 def _with_sets(batches):
     for b in common.slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in shingle_sets(*common.raw(b.column("text")))], pa.binary())], ["node", "elements"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("keys"), pa.array([s.tobytes() for s in shingle_sets(*common.raw(b.column("text")))], pa.binary())], ["node", "keys", "elements"])
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -126,10 +127,11 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the least node of its component. Least labels spread over edges, then jump."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct().select("a", F.col("b").alias("node")))
+    hubs = common.hot_keys(both, "node")
+    labels = cut(both.groupBy("a").agg(F.least(F.first("a"), F.min("node")).alias("label")).withColumnRenamed("a", "node"))
     while True:
-        offered = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
+        offered = common.spread_join(both, labels, "node", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
         spread = cut(labels.join(offered, "node").select("node", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("moved")))
         if not spread.where("moved").limit(1).count():
             return spread.select("node", "label")
@@ -137,15 +139,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = spread.join(upper, "label").select("node", F.least("label", "higher").alias("label"))
 
 
-def linked(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> list[int]:
-    """For each set the least index of its component, over links of two sets that share a key and stand on different sides, or both on side 2."""
-    root, size = list(range(len(sets))), np.array([len(s) for s in sets])
+def linked(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent: int = PERCENT, classes: list | None = None) -> list[tuple[int, int]]:
+    """Links that join all sets of a class, over links of two sets that share a key and stand on different sides, or both on side 2; sets of one of classes are joined before."""
+    root, size, out = list(range(len(sets))), np.array([len(s) for s in sets]), []
 
     def top(i):
         while root[i] != i:
             root[i] = i = root[root[i]]
         return i
 
+    first: dict = {}
+    for i, c in enumerate(classes or ()):
+        root[i] = first.setdefault(c, i)
     order = np.argsort(size, kind="stable")
     size, keys, side = size[order], keys[order], side[order]
     ends = np.searchsorted(size * percent, size * 100, side="right")
@@ -156,45 +161,75 @@ def linked(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray, percent:
             a, b = top(i), top(j)
             if a != b and alike(sets[i], sets[j], percent):
                 root[max(a, b)] = min(a, b)
-    return [top(i) for i in range(len(sets))]
+                out.append((i, j))
+    return out
 
 
-def _stars(rows: list[tuple], percent: int) -> tuple[list, list]:
-    """Edges from the least node of each component of a group of rows (node, side, keys, elements)."""
-    rows = sorted(rows, key=lambda r: r[0])
-    tops = linked([np.frombuffer(r[3], U64) for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), percent)
-    pairs = [(rows[t][0], rows[i][0]) for i, t in enumerate(tops) if t != i]
-    return [a for a, _ in pairs], [b for _, b in pairs]
+def _links(rows: list[tuple], percent: int) -> tuple[list, list]:
+    """Links (a, b) of a group of rows (node, side, keys, label, elements)."""
+    found = linked([np.frombuffer(r[4], U64) for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), percent, [r[3] for r in rows])
+    return [rows[i][0] for i, _ in found], [rows[j][0] for _, j in found]
 
 
 def _linked(batches, percent):
-    """Rows come sorted by (family, i, j); each such group is one task's block or pair of blocks."""
+    """Rows come sorted by group; each group is one task's block, or pair of blocks."""
     group, rows = None, []
     for b in batches:
         out: tuple[list, list] = ([], [])
-        for family, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("family", "i", "j", "node", "side", "keys", "elements")), strict=True):
-            if (family, i, j) != group:
+        for own, *row in zip(*(b.column(c).to_pylist() for c in ("group", "node", "side", "keys", "label", "elements")), strict=True):
+            if own != group:
                 if len(rows) > 1:
-                    for x, y in zip(out, _stars(rows, percent), strict=True):
+                    for x, y in zip(out, _links(rows, percent), strict=True):
                         x += y
-                group, rows = (family, i, j), []
+                group, rows = own, []
             rows.append(row)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["a", "b"])
     if len(rows) > 1:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in _stars(rows, percent)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in _links(rows, percent)], ["a", "b"])
 
 
-def _verified(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) among the members (family, node, n, keys) of each family, by full sets."""
-    sized = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("k"))
-    placed = families.join(sized, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    dealt = placed.select("family", "node", "keys", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int"))
-    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", side.alias("side"), "keys")
-    together = dealt.join(sets, "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+def _compared(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside the groups of dealt (group, node, side, label), by full sets (node, keys, elements)."""
+    together = dealt.join(sets, "node").select("group", "node", "side", "keys", "label", "elements").repartition("group").sortWithinPartitions("group", "node")
     return together.mapInArrow(partial(_linked, percent=percent), "a binary, b binary")
 
 
+def _blocks(count: str, total: str) -> Column:
+    """How many blocks so many sets with so many shingles take."""
+    return F.greatest(F.ceil(F.col(count) / F.lit(BLOCK_SETS)), F.ceil(F.col(total) / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def _stars(edges: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the edges (a, node): each a meets its nodes in chunks."""
+    sized = cut(edges.join(nodes.select("node", "n"), "node"))
+    chunks = cut(sized.groupBy("a").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("a", _blocks("c", "s").alias("k")))
+    near = common.spread_join(sized, chunks, "a", common.hot_keys(sized, "a")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    near = near.select(F.struct("a", "chunk").alias("group"), "node", F.lit(1).alias("side"), F.col("node").alias("label"))
+    hubs = chunks.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"))
+    hubs = hubs.select(F.struct(F.col("node").alias("a"), "chunk").alias("group"), "node", F.lit(0).alias("side"), F.col("node").alias("label"))
+    return _compared(near.unionByName(hubs), sets, percent)
+
+
+def _families(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the members (family, node, n, label) of each family but those within a label."""
+    size = families.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    size = size.withColumn("apart", (F.col("c") * 2 >= BLOCK_SETS) | (F.col("s") * 2 >= BLOCK_SHINGLES)).withColumn("own", F.when(F.col("apart"), F.col("label")).otherwise(F.lit(b"")))
+    size = cut(size)
+    blocks = cut(size.groupBy("family", "own").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).select("family", "own", _blocks("c", "s").alias("k")))
+    place = size.select("family", "label", "own").join(blocks.select("family", "own", "k"), ["family", "own"])
+    placed = cut(families.join(place, ["family", "label"]).withColumn("block", F.struct("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("i"))).select("family", "node", "label", "block"))
+    each = blocks.select("family", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).select("family", F.struct("own", "i").alias("block"))
+    one, two = each.select("family", F.col("block").alias("p")), each.select("family", F.col("block").alias("q"))
+    same = (F.col("p.own") != F.lit(b"")) & (F.col("q.own") == F.col("p.own"))
+    pairs = cut(one.join(two, "family").where((F.col("p") <= F.col("q")) & ~same))
+    group = F.struct("family", "p", "q").alias("group")
+    alone = pairs.where("p = q").select("family", F.col("p").alias("block"), group, F.lit(2).alias("side"))
+    left = pairs.where("p < q").select("family", F.col("p").alias("block"), group, F.lit(0).alias("side"))
+    right = pairs.where("p < q").select("family", F.col("q").alias("block"), group, F.lit(1).alias("side"))
+    dealt = placed.join(alone.unionByName(left).unionByName(right), ["family", "block"]).select("group", "node", "side", "label")
+    return _compared(dealt, sets, percent)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class binary, text_key) for each row of docs (doc_id, text, ...).
 
@@ -204,12 +239,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     seen = cut(keyed.mapInArrow(partial(_sketched, percent=percent), "doc_id long, text_key long, n_shingles long, node binary, keys array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n_shingles", "keys")).alias("m")
     nodes = cut(seen.where("node is not null").groupBy("node").agg(first).select("node", "m.doc_id", "m.text_key", F.col("m.n_shingles").alias("n"), "m.keys"))
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    stars = cut(members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a"))
-    families = cut(components(members.join(stars, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("label", "family"))
-    gathered = cut(families.join(nodes, "node"))
-    sets = cut(_fetch(keyed, gathered.select("node", F.col("doc_id").alias("its"), F.col("text_key").alias("own"))))
-    labels = components(_verified(gathered.select("family", "node", "n", "keys"), sets, percent))
+    members = cut(nodes.select("node", F.explode("keys").alias("key")))
+    buckets = cut(members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a"))
+    hot = common.hot_keys(members, "key")
+    shared = cut(common.spread_join(members, buckets, "key", hot))
+    wanted = cut(shared.select("node").distinct().join(nodes, "node"))
+    sets = cut(_fetch(keyed, wanted.select("node", "keys", F.col("doc_id").alias("its"), F.col("text_key").alias("own"))))
+    links = cut(_stars(shared.where("node <> a").select("a", "node").distinct(), nodes, sets, percent))
+    first = cut(components(links))
+    named = cut(shared.join(first, "node", "left").select("key", "node", "a", F.coalesce("label", "node").alias("label")))
+    open_ = cut(named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key"))
+    rest = cut(common.spread_join(named, open_, "key", hot))
+    families = components(rest.where("node <> a").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("label", "family")
+    families = cut(rest.select("node", "label").distinct().join(families, "node").join(nodes.select("node", "n"), "node"))
+    labels = components(links.unionByName(_families(families, sets, percent)))
     classes = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("class"))
     least_id = cut(classes.groupBy("class").agg(F.min("doc_id").alias("component_id")))
     classes = cut(classes.join(least_id, "class").select("node", "class", "component_id"))
@@ -219,9 +262,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _fetch(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, elements) of the wanted (node, its, own), each from the row that names it."""
+    """(node, keys, elements) of the wanted (node, keys, its, own), each from one of the rows that it names."""
     rows = keyed.join(wanted, (F.col("text_key") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("its")))
-    return rows.select("node", "text").mapInArrow(_with_sets, "node binary, elements binary")
+    return rows.select("node", "keys", "text").dropDuplicates(["node"]).mapInArrow(_with_sets, "node binary, keys array<long>, elements binary")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pytest
 from llm_data import prose, rows
+from pyspark.sql import functions as F
 
 from seqpack.llm import line_dedup, near_dedup
 
@@ -150,6 +151,32 @@ def test_near_duplicates_are_those_of_a_loop(spark, monkeypatch, block):
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == brute_components(docs)
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK_SETS, 4])
+def test_sets_that_are_far_from_the_least_one_are_linked(spark, monkeypatch, block):
+    """A chain of small steps: neighbours are alike, most are not alike to any one of them; and two groups that share buckets without being alike."""
+    r = random.Random(4)
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", block)
+    words = prose(r, 120).split(" ")
+    docs = []
+    for i in range(40):
+        if i:
+            words[i * 3] = f"w{i}"
+        docs.append(" ".join(words))
+    base = prose(r, 150)
+    docs += [edited(r, base, n) for n in (0, 1, 2, 5, 6, 7, 8, 9, 10) for _ in range(4)]
+    docs = list(enumerate(docs))
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == brute_components(docs)
+
+
+def test_ten_thousand_equal_rows_and_a_near_copy(spark):
+    r = random.Random(5)
+    base = prose(r, 100)
+    docs = spark.range(10_000).selectExpr("cast(7 as long) as doc_id").withColumn("text", F.lit(base)).unionByName(spark.createDataFrame([(8, edited(r, base, 1))], "doc_id long, text string"))
+    out = near_dedup.near_duplicates(docs).groupBy("component_id", "kept").count().collect()
+    assert sorted(map(tuple, out)) == [(7, False, 1), (7, True, 10_000)]
+
+
 def test_chains_become_one_component(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     labels = {bytes(x.node): bytes(x.label) for x in near_dedup.components(edges).collect()}
