@@ -16,6 +16,12 @@ SCHEMAS = {
     "bits": "pos long, bit int",
     "suffix_array": "stream_id long, sa_rank long, pos long",
     "ctable": "sym int, c long",
+    "rrr_bits": "stream_id long, block long, n int, ones int, offset int",
+    "rrr_wavelet": "stream_id long, level int, block long, n int, ones int, offset int",
+    "patterns": "pid string, syms array<int>",
+    "expected": "pid string, n long, positions array<long>",
+    "golden_access": "stream_id long, pos long, sym int",
+    "golden_rank": "stream_id long, sym int, i long, rank long",
     "values": "idx long, v int",
     "blocks": "b int, data binary, state0 long",
     "base": "pos long, val int",
@@ -89,7 +95,7 @@ def read_session(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """One row for each crossover case, dense and compressed latencies as arrays."""
-    schema = "cases array<struct<context:int,head_dim:int,queries:int,kv_heads:int,bits:int,compressed:array<double>,dense:array<double>>>"
+    schema = "cases array<struct<context:int,head_dim:int,queries:int,kv_heads:int,bits:int,compressed:array<double>,dense:array<double>,compressed_mib:double,dense_mib:double,max_error:double,tolerance:double>>"
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("cases").alias("c")).select("c.*")
 
 
@@ -116,6 +122,14 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])).alias("value"))
 
 
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """The lines (at, value) of a markdown table: two of its head, then one for each row; write them in order of at."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"[|\n]", " ")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(-2, "| " + " | ".join(df.columns) + " |"), (-1, "|" + "-|" * len(df.columns))], "at long, value string")
+    return head.unionByName(df.select(F.monotonically_increasing_id().alias("at"), line.alias("value")))
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every file under path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

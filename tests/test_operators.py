@@ -327,6 +327,14 @@ def test_byte_codecs_are_lossless(values):
     assert bytecodes.rans_decode(*bytecodes.rans_encode(values, freq), freq, len(values)) == values
 
 
+def test_codes_are_these_bytes():
+    """Worked out by hand: codes 0, 10, 11; states of frequencies a half; the second of the words with two ones."""
+    lengths, data = bytecodes.huffman_encode([0, 0, 0, 1, 2])
+    assert lengths == {0: 1, 1: 2, 2: 2} and data == bytes([0b00010110])
+    assert bytecodes.rans_encode([0, 1], {0: 2048, 1: 2048}) == (8193 << 12, b"") and bytecodes.rans_encode([5], {5: 4096}) == (1 << 23, b"")
+    assert [bytecodes.rrr_encode(w) for w in (0, 1, 0b10, 0b11, 0b101, 0b110, 0x7FFF, 1 << 14)] == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (15, 0), (1, 14)]
+
+
 def test_bit_blocks_are_ranked_without_gaps():
     words = [w for w in range(1 << bytecodes.RRR_BLOCK) if w.bit_count() == 4]
     assert sorted(bytecodes.rrr_encode(w)[1] for w in words) == list(range(len(words)))
@@ -376,6 +384,11 @@ def test_sessions_and_runs(spark, tmp_path):
     assert tables.read_run(spark, str(tmp_path / "r.json")).count() == 2
 
 
+def test_markdown_tables(spark):
+    out = tables.markdown_lines(spark.createDataFrame([(1, "a|b"), (2, None)], "n int, t string")).orderBy("at").collect()
+    assert [r.value for r in out] == ["| n | t |", "|-|-|", "| 1 | a b |", "| 2 |  |"]
+
+
 def test_text_sinks(spark):
     df = spark.createDataFrame([("a", 1.5)], "model string, p95 double")
     assert tables.prometheus_lines(df, "latency", ["model"], "p95").first().value == 'latency{model="a"} 1.5'
