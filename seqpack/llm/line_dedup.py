@@ -76,12 +76,12 @@ def _repeated(docs: DataFrame, cut_at: int, words: int) -> DataFrame:
     listed = _suspects(each).groupBy("id", "key").agg(F.collect_set(F.struct(*_UNIT)).alias("at"))
     listed = listed.select(F.col("id").alias("its"), F.col("key").alias("own"), "at")
     found = docs.join(listed.hint("merge"), F.col("id").eqNullSafe(F.col("its")) & (F.col("key") == F.col("own")))
-    found = cut(found.select("id", "key", F.explode(F.expr(_BYTES.format(own=", ".join(f"u.{c} as {c}" for c in _UNIT)))).alias("u")).select("id", "key", "u.*").dropDuplicates(["id", "key", "kind", "a", "b"]))
+    found = cut(found.select("id", "key", F.explode(F.expr(_BYTES.format(own=", ".join(f"u.{c} as {c}" for c in _UNIT)))).alias("u")).select("id", "key", "u.*"))
     firsts = found.groupBy("kind", "digest", "bytes").agg(F.min(_place()).alias("m")).select(F.col("kind").alias("k"), F.col("m.id").alias("i"), F.col("m.key").alias("o"), F.col("m.a").alias("f"), F.col("m.b").alias("t"))
     is_first = F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("o")) & (F.col("kind") == F.col("k")) & (F.col("a") == F.col("f")) & (F.col("b") == F.col("t"))
     later = cut(found.select("id", "key", *_UNIT).join(firsts.hint("merge"), is_first, "left_anti"))
     run = F.col("j") - F.row_number().over(Window.partitionBy("id", "key").orderBy("j"))
-    pairs = later.where("kind = 1").withColumn("run", run)
+    pairs = later.where("kind = 1").dropDuplicates(["id", "key", "j"]).withColumn("run", run)  # equal rows of docs have given them more than once
     runs = pairs.groupBy("id", "key", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), (F.sum("w1") + F.max_by("w2", "j")).alias("n")).where(F.col("n") >= words)
     gone = later.where("kind = 0").select("id", "key", "a", "b").unionByName(runs.select("id", "key", "a", "b"))
     return cut(gone.groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("gone")))
