@@ -55,6 +55,33 @@ def test_windows_cover_the_text():
         assert joined == folded and all(len(w) <= toxicity.WINDOW + 1 for w in body)
 
 
+def test_features_are_those_of_one_window_at_a_time():
+    r = random.Random(3)
+    texts = [prose(r, 40) + (" vile" if i % 3 == 0 else "") for i in range(90)]
+    c = toxicity.Classifier(texts, np.array([i % 3 == 0 for i in range(90)]))
+    asked = [texts[0], texts[1], "", None, prose(r, 500), "vile " * 30]
+    got = c.features([toxicity.fold(t) for t in asked])
+    for row, text in zip(got, asked, strict=True):
+        saved = []
+        for w in toxicity.windows(toxicity.fold(text)):
+            toxic, ordinary = (len(z.compress(w)) for z in c._compressors())
+            saved.append(ordinary - toxic)
+        many = [sum(s >= k for s in saved) for k in toxicity.STEPS]
+        plain = [m / (len(saved) + 2) for m in many] + [math.log1p(m) for m in many] + [float(m > 0) for m in many[3:7]] + [max([min(s, 10) for s in saved] + [0]) / 10, math.log1p(len(saved)) / 5, 1.0]
+        assert np.allclose(row, plain)
+
+
+def test_learning_takes_one_row_a_document_and_passes_over_what_does_not_fit(spark):
+    r = random.Random(4)
+    rows_ = [(i, prose(r, 30) + (" vile" if i % 4 == 0 else "")) for i in range(80)] + [(4, "vile " * 5)] * 50 + [(1, "x " * 200_000)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(5000, 1)], "doc_id long, toxic int")
+    assert toxicity.learn(docs.where("doc_id <> 1").unionByName(docs.where("doc_id = 1 and length(text) > 1000")), labels, size=60_000) is not None
+    assert toxicity.learn(docs, labels, size=0) is None and toxicity.learn(docs, labels.where("toxic = 0")) is None
+    out = toxicity.toxicity(docs.withColumn("score", F.lit(7)), labels)
+    assert out.columns == ["doc_id", "text", "score", "score_"] and {x.score for x in out.collect()} == {7}
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 1), (8, 1, 0), (11, 0, 0), (12, 1, None), (None, 1, 1), (1, 0, 0)], "doc_id long, quality int, toxic int")
     out = toxicity.scored(odd_docs, toxicity.learn(odd_docs, labels), "p")
@@ -317,6 +344,12 @@ def test_blocks_find_the_same(spark, odd_docs, no_docs, monkeypatch, block):
     assert decontam.matches(no_docs, items, "found").count() == 0 and decontam.matches(odd_docs, items.limit(0), "found").where("size(found) > 0").count() == 0
 
 
+def test_a_column_named_like_the_matches_stays(spark):
+    docs = spark.createDataFrame([(1, "nothing here", 5)], "doc_id long, text string, matches int")
+    out = decontam.matches(docs, spark.createDataFrame([(1, "an item of some length to be sought")], "item_id long, text string"))
+    assert out.columns == ["doc_id", "text", "matches", "matches_"] and out.first().matches == 5
+
+
 def test_runs_of_one_character_are_counted_in_parts(monkeypatch):
     items = [(1, "-" * 90), (2, "x" * 50 + "-" * 40)]
     texts = ["-" * 20_000, "a" * 500 + "x" * 50 + "-" * 40 + "b" * 500, "-" * 60 + "q" * 40]

@@ -51,6 +51,19 @@ def test_any_text_is_encoded_as_by_the_library(text):
     same(*test_any_text_is_encoded_as_by_the_library.both, text)
 
 
+def test_words_of_any_length_are_encoded_as_by_the_library(automaton, library):
+    r = random.Random(8)
+    kept = automaton.kept
+    for word in ("ab1" * 25_000, "".join(r.choice("aeinorst") for _ in range(60_000)), "é日" * 20_000):
+        assert automaton.encode(word).tolist() == library.encode(word, add_special_tokens=False).ids
+        assert word not in automaton.words
+    assert automaton.kept - kept < 1000
+
+
+def test_runs_are_disjoint_and_keep_the_least_rank():
+    assert bpe.disjoint([(0, 10, 5), (2, 4, 9), (4, 6, 1), (12, 13, 2), (7, 7, 0)]) == [(0, 2, 5), (2, 4, 5), (4, 6, 1), (6, 10, 5), (12, 13, 2)]
+
+
 def test_an_arc_is_what_merging_leaves(automaton, library):
     r = random.Random(2)
     labels = [x for x in automaton.vocab if x.isascii() and x.isalpha()]
