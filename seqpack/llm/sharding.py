@@ -3,8 +3,9 @@
 Each row becomes a point of metadata dimensions, every one quantised to BITS bits: the language (a code of its first two
 letters, so near codes are like languages), the source (a hash) and the size (steps of an eighth of a power of two). Rows are
 sorted by the point's index on the Hilbert curve, ties by text checksum and doc_id, and the sorted rows are cut into runs: a
-shard then spans a small box of every dimension, which file statistics can prune. The law is `rows`: shard counts differ by one
-at most, whatever group of copies there is.
+shard then spans a small box of every dimension, which file statistics can prune. Rows of equal text are a group: all take the point
+of the group's least language and source, so they are neighbours and only a cut parts them. The law is `rows`: shard counts differ
+by one at most, whatever group of copies there is.
 
 Only keys and numbers are sorted, never texts. A row's place is the offset of its range partition plus its place there.
 
@@ -87,8 +88,14 @@ def points(docs: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(top + 1)),
         F.least(F.lit(top), F.floor(F.log2(size.cast("double")) * 8 - 32)),
     ]
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"), *[d.cast("long").alias(f"d{k}") for k, d in enumerate(dims)])
-    return keyed.select("doc_id", "size", "text_crc32", hilbert_index([F.col(f"d{k}") for k in range(len(dims))]).alias("h"))
+    crc = F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32")
+    own = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc, F.md5(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"\0null"))).alias("text_md5"), *[d.cast("long").alias(f"d{k}") for k, d in enumerate(dims)]))
+    groups = cut(own.groupBy("text_md5").agg(F.count("*").alias("n"), F.min(F.struct("d0", "d1")).alias("least")).where("n > 1"))
+    many = F.col("n") > F.lit(own.count() // common.HOT)
+    hot, rest = F.broadcast(groups.where(many).select("text_md5", "least")), groups.where(~many).select("text_md5", "least").hint("merge")
+    near = own.join(hot, "text_md5").unionByName(own.join(hot, "text_md5", "left_anti").join(rest, "text_md5", "left"))
+    point = [F.coalesce("least.d0", "d0"), F.coalesce("least.d1", "d1"), F.col("d2")]
+    return near.select("doc_id", "size", "text_crc32", hilbert_index(point).alias("h"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

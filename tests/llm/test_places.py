@@ -127,13 +127,15 @@ def test_shards_are_those_of_a_loop(spark):
     import xxhash
 
     docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
-    rows = []
-    for r in docs:
+    rows, points, group = [], {}, {}
+    for k, r in enumerate(docs):
         size, lang = len((r.text or "").encode()) + 16, (r.lang or "").lower()
         letter = [max(0, min(25, ord(lang[k : k + 1] or "\0") - 97)) for k in (0, 1)]
         source = (xxhash.xxh64_intdigest((r.source or "").encode(), seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
-        point = ((letter[0] * 26 + letter[1]) >> 3, source % 128, min(127, math.floor(math.log2(size) * 8 - 32)))
-        rows.append((plain_index(point, 7), zlib.crc32((r.text or "").encode()), r.doc_id, size))
+        points[k] = ((letter[0] * 26 + letter[1]) >> 3, source % 128, min(127, math.floor(math.log2(size) * 8 - 32)))
+        group[r.text] = min(group.get(r.text, points[k]), points[k])
+    for r in docs:
+        rows.append((plain_index(group[r.text], 7), zlib.crc32((r.text or "").encode()), r.doc_id, len((r.text or "").encode()) + 16))
     rows.sort()
     least, longer = divmod(len(rows), 40)
     expected, at = [], 0
@@ -145,6 +147,14 @@ def test_shards_are_those_of_a_loop(spark):
     assert sorted(map(tuple, got.collect())) == sorted(expected)
 
 
+def test_equal_texts_are_neighbours(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id % 700)) as text", "if(id % 2 = 0, 'en', 'fr') as lang", "concat('s', id % 5) as source")
+    out = sharding.shard(docs).collect()
+    check_shards(out, 3000)
+    texts = [r.text_crc32 for r in sorted(out, key=lambda r: (r.shard, r.slot))]
+    assert sum(a != b for a, b in zip(texts, texts[1:], strict=False)) == len(set(texts)) - 1
+
+
 def test_equal_rows_are_dealt_to_several_tasks(spark):
     docs = spark.range(4000).selectExpr("cast(7 as long) as doc_id", "'same' as text", "'en' as lang", "'s' as source")
     out = sharding.shard(docs)
