@@ -91,10 +91,10 @@ HOT = 4096
 
 
 def hot_keys(many: DataFrame, key: str) -> DataFrame:
-    """(key): the keys that have more than one in HOT of all rows, HOT of them at most; a written table."""
+    """(key): the keys that have more than one in HOT of all rows, HOT of them at most; read from a written table of counts."""
     counted = cut(many.groupBy(key).agg(F.count("*").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
-    return cut(counted.where(F.col("n") > F.lit(total // HOT)).where("n > 1").select(key))
+    return counted.where((F.col("n") > F.lit(total // HOT)) & (F.col("n") > 1)).select(key)
 
 
 def spread_join(many: DataFrame, few: DataFrame, key: str, hot: DataFrame) -> DataFrame:

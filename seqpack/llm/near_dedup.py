@@ -6,11 +6,11 @@ coordinates, first at random, from round t on into coordinate r - t alone, so th
 a coordinate keeps its least (round, hash). Runs of coordinates are banded into bucket keys.
 
 No pairs are listed. In a first pass every bucket's sets are compared whole with its least set: sets near that one meet in chunks
-of bounded size, and what is linked forms classes. Buckets whose sets are then of one class are done, which true copies are
-mostly. The sets of the other buckets, directly or through shared ones, form families. A family's sets are dealt to blocks of
-bounded size, large classes to blocks of their own; every two blocks meet but those of one class. Inside a task every two sets of
-different classes that share a key and fit in size are compared whole. So any two sets that share a bucket are in one class or
-were compared. Links of both passes are closed to components, which are the classes.
+of bounded size. Buckets whose sets are all linked with it are done, which those of true copies are mostly. The sets of the other
+buckets, directly or through shared ones, form families. A family's sets are dealt to blocks of bounded size, those linked with
+one set, if they are many, to blocks of their own; every two blocks meet but those of one such star. Inside a task every two sets
+of different stars that share a key and fit in size are compared whole. So any two sets that share a bucket are linked through
+others or were compared. Links of both passes are closed to components, which are the classes.
 
 Defined results: null or empty text: empty set, linked with nothing. Equal sets form one class whatever doc_id they carry; rows
 that repeat a doc_id keep a row each. A null doc_id never names a component unless all of its members lack one. Extra columns
@@ -246,13 +246,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = cut(shared.select("node").distinct().join(nodes, "node"))
     sets = cut(_fetch(keyed, wanted.select("node", "keys", F.col("doc_id").alias("its"), F.col("text_key").alias("own"))))
     links = cut(_stars(shared.where("node <> a").select("a", "node").distinct(), nodes, sets, percent))
-    first = cut(components(links))
-    named = cut(shared.join(first, "node", "left").select("key", "node", "a", F.coalesce("label", "node").alias("label")))
-    open_ = cut(named.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key"))
-    rest = cut(common.spread_join(named, open_, "key", hot))
-    families = components(rest.where("node <> a").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("label", "family")
-    families = cut(rest.select("node", "label").distinct().join(families, "node").join(nodes.select("node", "n"), "node"))
-    labels = components(links.unionByName(_families(families, sets, percent)))
+    pairs = links.select("a", F.col("b").alias("node")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("node")))
+    open_ = cut(shared.where("node <> a").join(pairs, ["a", "node"], "left_anti").select("key").distinct())
+    if open_.limit(1).count():
+        near = pairs.groupBy("node").agg(F.min("a").alias("label")).select("node", F.least("node", "label").alias("label"))
+        rest = common.spread_join(shared, open_, "key", hot).select("a", "node").distinct()
+        rest = cut(rest.join(near, "node", "left").select("a", "node", F.coalesce("label", "node").alias("label")))
+        families = components(rest.where("node <> a").select("a", F.col("node").alias("b"))).withColumnRenamed("label", "family")
+        families = cut(rest.select("node", "label").distinct().join(families, "node").join(nodes.select("node", "n"), "node"))
+        links = links.unionByName(_families(families, sets, percent))
+    labels = components(links)
     classes = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("class"))
     least_id = cut(classes.groupBy("class").agg(F.min("doc_id").alias("component_id")))
     classes = cut(classes.join(least_id, "class").select("node", "class", "component_id"))
