@@ -3,7 +3,7 @@
 Texts are split at white space into pre-tokens (led by the word-begin mark of the vocabulary); the distinct ones of a batch are
 inserted in a trie. A node holds the best unigram score of its prefix and that path's number of tokens, computed once from the
 nodes above it whatever number of pre-tokens share the prefix; the pre-token's count is read at its terminal node. The trie lives
-on in the worker and is dropped when it has NODES nodes. A pre-token of more than LONG characters is not inserted: the same pass
+on in the worker and is dropped when it has NODES nodes; the counts of KEPT pre-tokens outlive it. A pre-token of more than LONG characters is not inserted: the same pass
 runs over it with the last positions alone in memory, so that a text without blanks takes no trie.
 
 Vocabulary and scores: the pieces of a public tokenizer; a piece's score is -ln(rank + 1) - COST by its rank (Zipf), a character
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from seqpack.llm import common
 
-MARK, COST, NODES, LONG = "▁", 1.0, 400_000, 100
+MARK, COST, NODES, KEPT, LONG = "▁", 1.0, 300_000, 400_000, 100
 
 
 def default_path() -> str:
@@ -57,12 +57,13 @@ class Counter:
                 node = node.setdefault(c, {})
             node.setdefault(None, -math.log(rank + 1) - COST)
         self.longest = max(map(len, vocabulary), default=1)
+        self.counts: dict[str, int] = {}
         self.rarest = -math.log(len(vocabulary) + 1) - COST
         self.forget()
 
     def forget(self) -> None:
         self.trie: dict = {None: (0.0, 0)}
-        self.nodes, self.counts = 1, {}
+        self.nodes = 1
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token; nodes that are there already are only passed."""
@@ -72,6 +73,8 @@ class Counter:
         if found is None:
             if self.nodes >= NODES:
                 self.forget()
+            if len(self.counts) >= KEPT:
+                self.counts.clear()
             found = self.counts[word] = self._insert(MARK + word)
         return found
 
@@ -98,17 +101,21 @@ class Counter:
 
     def _forward(self, word: str, end: int, path: list[tuple[float, int]], base: int = 0) -> tuple[float, int]:
         """The best (score, -tokens) of word[:end], of the pieces that end there; path begins at position base."""
-        size = len(word[end - 1].encode("utf-8", "surrogatepass"))
+        last = word[end - 1]
+        size = 1 if last < "\x80" else len(last.encode("utf-8", "surrogatepass"))
         score, tokens = path[end - 1 - base]
-        best, node = (score + size * self.rarest, tokens - size), self.ends
+        score, tokens, node = score + size * self.rarest, tokens - size, self.ends
         for start in range(end - 1, -1, -1):
             node = node.get(word[start])
             if node is None:
                 break
-            if None in node:
-                score, tokens = path[start - base]
-                best = max(best, (score + node[None], tokens - 1))
-        return best
+            own = node.get(None)
+            if own is not None:
+                before, n = path[start - base]
+                own += before
+                if own > score or own == score and n - 1 > tokens:
+                    score, tokens = own, n - 1
+        return score, tokens
 
 
 _counters: dict[bytes, Counter] = {}

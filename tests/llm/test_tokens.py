@@ -125,6 +125,7 @@ def test_long_words_take_no_trie(counter, monkeypatch):
 
 def test_a_shared_prefix_is_computed_once(counter):
     counter.forget()
+    counter.counts.clear()
     counter.count("internation")
     before = counter.nodes
     counter.count("international")
