@@ -7,10 +7,13 @@ hashes with log-probabilities, and of context hashes with back-off weights, whic
 come to the driver a few at a time and go out in blocks of BLOCK n-grams; a task meets one block at a time. A text's cross-entropy
 with each language is divided by its length; the lowest wins.
 
-score is the winner's share among the languages, at the temperature that makes the calibration rows likeliest. Calibration rows are
-at most CALIBRATION of the learned rows of one fold in PARTS (by text hash); they are scored by models of the counts without that
-fold. Each language's bound is the cross-entropy that SHARE of its calibration rows keep within (of all languages together, where
-a language has fewer than FEW such rows); `rejected` is true beyond it. The final models count the fold too.
+score is the winner's share among the languages, at the temperature that makes the learned rows likeliest. All learned rows
+calibrate: they lie in PARTS folds (by text hash, so a language's equal texts share one), and each is scored by models of the counts
+without its fold. Likelihoods are summed over all rows. Each language's bound is the least cross-entropy that SHARE of its rows keep
+within, of those that these models name rightly (of all languages' rows together, where a language has fewer than FEW such rows): a
+rank among all of them, found exactly; `rejected` is true beyond it. The final models count all folds. Only rows that no such model
+can judge take no part: texts without a letter, and a text that is the only one of its language (copies do not count). If there are
+no others, the temperature is 8 and no text with a letter is rejected.
 
 Defined results: `und` with score 0, rejected, for null texts and texts without a letter, and for all if nothing was learned; ties
 go to the language that sorts first. Rows whose lang is null are not learned from. A null doc_id is in no fold: such a row is
@@ -22,10 +25,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqpack.llm import common
@@ -34,11 +38,15 @@ from seqpack.llm.common import U64, cut, mix
 ORDER, ALPHABET = 4, 0x110000
 FOLDS, HELD_OUT = 4, 2
 DISCOUNT_FLOOR = 0.1
-#: Rows that calibrate, the fold they are of, the share of them within a language's bound, and how many a bound of its own takes.
-CALIBRATION, PARTS, SHARE, FEW = 2000, 50, 0.995, 50
+#: Folds that calibrate, the share of rows within a language's bound, and how many rows a bound of its own takes.
+PARTS, SHARE, FEW = 5, Fraction(995, 1000), 50
+#: Columns of counts, one for each fold; the key of the models that count all of them.
+_FOLDS, WHOLE = [f"n{k}" for k in range(PARTS)], -1
 TEMPERATURES = [2**k for k in np.arange(-1, 6.01, 0.25)]
+#: Log-likelihoods are summed as whole multiples of 1 / GRAIN, so that no order of rows changes a sum.
+GRAIN = 1 << 16
 #: n-grams that are gathered, sent and looked up at once; distinct n-grams that a task sums before it hands them on.
-BLOCK, SUMS = 4_000_000, 2_000_000
+BLOCK, SUMS = 4_000_000, 1_000_000
 #: n-grams of so few letters are numbered by a table, those of more by sorting.
 TABLE = 1 << 25
 _POINT = 21
@@ -150,46 +158,57 @@ def _unpacked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams and their counts, summed."""
+    """n-grams and their counts in each fold (m, PARTS), summed."""
     grams, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     _, first, at = np.unique(gram_hash(grams), return_index=True, return_inverse=True)
-    return grams[first], np.bincount(at, n, len(first)).astype(np.int64)
+    return grams[first], np.stack([np.bincount(at, x, len(first)).astype(np.int64) for x in n.T], 1)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of each language: how many, and how many of texts that do not calibrate."""
-    sums: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
+    """n-grams of each language: how many in the texts of each fold."""
+    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def handed():
-        for (lang, apart), (grams, n) in sums.items():
+        for lang, (grams, n) in sums.items():
             a, b = _packed(grams)
             for at in range(0, len(n), 50_000):
                 s = slice(at, at + 50_000)
-                size = len(n[s])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(a[s]), pa.array(b[s]), pa.array(n[s]), pa.array(np.zeros(size, np.int64) if apart else n[s])], ["lang", "a", "b", "n", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[s]), pa.string()), pa.array(a[s]), pa.array(b[s]), *(pa.array(x[s]) for x in n.T)], ["lang", "a", "b", *_FOLDS])
         sums.clear()
 
     for b in common.slices(batches, "text", 1 << 20):
-        keys = list(zip(b.column("lang").to_pylist(), b.column("apart").to_pylist(), strict=True))
-        texts = b.column("text").to_pylist()
-        for key in set(keys):
-            found = Grams([t for t, x in zip(texts, keys, strict=True) if x == key])
-            new = found.grams, found.counts()
-            sums[key] = merged([sums[key], new]) if key in sums else new
+        langs, texts, fold = b.column("lang").to_pylist(), b.column("text").to_pylist(), b.column("fold").to_numpy()
+        for lang in set(langs):
+            own = [i for i, x in enumerate(langs) if x == lang]
+            found = Grams([texts[i] for i in own])
+            place = found.at.astype(np.int64) * PARTS + np.repeat(fold[own], found.lengths)
+            new = found.grams, np.bincount(place, minlength=len(found.grams) * PARTS).reshape(-1, PARTS)
+            sums[lang] = merged([sums[lang], new]) if lang in sums else new
         if sum(len(n) for _, n in sums.values()) > SUMS:
             yield from handed()
     yield from handed()
 
 
-def _apart():
-    return F.pmod(F.xxhash64("text"), F.lit(PARTS)) == 0
+def _known(docs: DataFrame) -> DataFrame:
+    """(lang, text, fold) of the rows that are learned from. Where all texts of a language would share a fold, the one of least hash goes apart."""
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("hash"))
+    fold = F.pmod("hash", F.lit(PARTS)).cast("int")
+    ends = rows.groupBy("lang").agg(F.min("hash").alias("least"), F.max("hash").alias("most"), F.min(fold).alias("low"), F.max(fold).alias("high"))
+    alone = [(r.lang, r.least) for r in ends.where("low = high and least < most").collect()]
+    if alone:
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(alone, "lang string, least long")), "lang", "left")
+        fold = F.when(F.col("least").isNull(), fold).otherwise((F.col("hash") != F.col("least")).cast("int"))
+    return rows.select("lang", "text", fold.alias("fold"))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(lang, a, b, n, rest): how often each n-gram (packed in a and b) stands in the texts of each language, and in those that do not calibrate."""
-    known = docs.where("lang is not null and text is not null").select("lang", "text", _apart().alias("apart"))
-    each = known.mapInArrow(_counted, "lang string, a long, b long, n long, rest long")
-    return each.groupBy("lang", "a", "b").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
+def counts(known: DataFrame) -> DataFrame:
+    """(lang, a, b, n0, n1, ...): how often each n-gram (packed in a and b) stands in the known texts of each language, fold by fold."""
+    each = known.mapInArrow(_counted, "lang string, a long, b long, " + ", ".join(f"{x} long" for x in _FOLDS))
+    return each.groupBy("lang", "a", "b").agg(*(F.sum(x).alias(x) for x in _FOLDS))
+
+
+def _total() -> Column:
+    return sum((F.col(x) for x in _FOLDS), F.lit(0))
 
 
 class Model:
@@ -257,21 +276,8 @@ def means(models: dict[str, Model], texts: list[str]) -> tuple[np.ndarray, np.nd
 class Calibration:
     """The temperature of shares and each language's bound on cross-entropy."""
 
-    def __init__(self, langs: list[str], right: np.ndarray, mean: np.ndarray):
-        """right: the number of each calibration row's language; mean: its mean log-probabilities."""
-        self.temperature, self.bounds = 8.0, np.full(len(langs), np.inf)
-        if not len(right):
-            return
-        gap = mean - mean.max(axis=1, keepdims=True)
-        likelihood = [(t * gap[np.arange(len(right)), right] - np.log(np.exp(t * gap).sum(axis=1))).sum() for t in TEMPERATURES]
-        self.temperature = float(TEMPERATURES[int(np.argmax(likelihood))])
-        hit = mean.argmax(axis=1) == right
-        entropy = -mean.max(axis=1)[hit]
-        if len(entropy):
-            self.bounds[:] = np.quantile(entropy, SHARE)
-            for j in range(len(langs)):
-                if (own := right[hit] == j).sum() >= FEW:
-                    self.bounds[j] = np.quantile(entropy[own], SHARE)
+    def __init__(self, temperature: float, bounds: np.ndarray):
+        self.temperature, self.bounds = temperature, bounds
 
     def judge(self, mean: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of each text's language, its share, and whether it is rejected."""
@@ -280,33 +286,38 @@ class Calibration:
         return best, np.where(letters, share, 0.0), ~letters | (-top[:, 0] > self.bounds[best])
 
 
-def _models(table: DataFrame, column: str) -> tuple[list[str], list]:
-    """The languages of a table of counts, sorted, and broadcasts of their models, each of some neighbouring languages."""
+def _models(table: DataFrame, columns: dict[int, Column]) -> tuple[list[str], list]:
+    """The languages of a table of counts, sorted, and broadcasts of their models: {key: {language: model}}, by the count that columns has under the key, some neighbouring ones in each."""
     spark = table.sparkSession
-    some = table.where(F.col(column) > 0)
-    sizes = sorted((r.lang, r.k) for r in some.groupBy("lang").agg(F.count("*").alias("k")).collect())
-    blocks: list[list[str]] = []
+    sizes = sorted(table.groupBy("lang").agg(*(F.count(F.when(c > 0, 1)) for c in columns.values())).collect())
+    blocks: list[list[tuple[int, str]]] = []
     room = 0
-    for lang, k in sizes:
-        if not blocks or room + k > BLOCK:
-            blocks.append([])
-            room = 0
-        blocks[-1].append(lang)
-        room += k
+    for j, key in enumerate(columns):
+        for row in sizes:
+            if not (k := row[j + 1]):
+                continue
+            if not blocks or room + k > BLOCK:
+                blocks.append([])
+                room = 0
+            blocks[-1].append((key, row.lang))
+            room += k
     out = []
     for block in blocks:
-        got = some.where(F.col("lang").isin(block)).select("lang", "a", "b", F.col(column).alias("n")).toArrow()
-        langs = got.column("lang").combine_chunks().dictionary_encode()
-        of, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
-        a, b, n = (got.column(c).to_numpy() for c in ("a", "b", "n"))
-        each = {}
-        for lang in block:
-            own = of == names.index(lang)
-            grams, k = _unpacked(a[own], b[own]), n[own]
-            order = np.argsort(gram_hash(grams))  # the same model whatever order the rows come in
-            each[lang] = Model(grams[order], k[order])
+        each: dict[int, dict[str, Model]] = {}
+        for key in dict.fromkeys(key for key, _ in block):
+            some = [lang for x, lang in block if x == key]
+            got = table.where(F.col("lang").isin(some) & (columns[key] > 0)).select("lang", "a", "b", columns[key].alias("n")).toArrow()
+            langs = got.column("lang").combine_chunks().dictionary_encode()
+            of, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+            a, b, n = (got.column(c).to_numpy() for c in ("a", "b", "n"))
+            each[key] = {}
+            for lang in some:
+                own = of == names.index(lang)
+                grams, k = _unpacked(a[own], b[own]), n[own]
+                order = np.argsort(gram_hash(grams))  # the same model whatever order the rows come in
+                each[key][lang] = Model(grams[order], k[order])
         out.append(spark.sparkContext.broadcast(each))
-    return [lang for lang, _ in sizes], out
+    return [row.lang for row in sizes], out
 
 
 def _scored(docs: DataFrame, blocks: list, schema: str, columns) -> DataFrame:
@@ -314,7 +325,7 @@ def _scored(docs: DataFrame, blocks: list, schema: str, columns) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        for group, each in common.blockwise(batches, "text", blocks, lambda models: models, most=8 << 20):
+        for group, each in common.blockwise(batches, "text", blocks, lambda models: models[WHOLE], most=8 << 20):
             parts: list[list] = [[] for _ in group]
             letters: list = [None] * len(group)
             for _, models in each:
@@ -329,13 +340,14 @@ def _scored(docs: DataFrame, blocks: list, schema: str, columns) -> DataFrame:
 
 def identify(docs: DataFrame, learned: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, rejected) of each row of docs (doc_id, text, ...), by models of learned (text, lang, ...)."""
-    table = cut(counts(learned))
+    known = _known(learned)
+    table = cut(counts(known))
     schema = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    langs, blocks = _models(table, "n")
+    langs, blocks = _models(table, {WHOLE: _total()})
     if not langs:
         return asked.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    calibration = _calibrated(learned, table, langs)
+    calibration = _calibrated(known, table, langs)
 
     def columns(b, mean, letters):
         best, share, rejected = calibration.judge(mean, letters)
@@ -344,25 +356,80 @@ def identify(docs: DataFrame, learned: DataFrame) -> DataFrame:
     return _scored(asked, blocks, schema, columns)
 
 
-def _calibrated(learned: DataFrame, table: DataFrame, langs: list[str]) -> Calibration:
-    """Fitted on calibration rows, scored by models that have not counted them."""
-    some = learned.where("lang is not null and text is not null").where(_apart()).select("text", "lang", F.monotonically_increasing_id().alias("at"))
-    rows = cut(common.least_hashes(cut(some), "text", CALIBRATION))
-    seen, blocks = _models(table, "rest")
-    if not seen:
-        return Calibration(langs, np.zeros(0, int), np.zeros((0, len(langs))))
+def _calibrated(known: DataFrame, table: DataFrame, langs: list[str]) -> Calibration:
+    """Fitted on all known rows, each scored by models that have not counted its fold."""
+    _, blocks = _models(table, {k: _total() - F.col(x) for k, x in enumerate(_FOLDS)})
+    if not blocks:
+        return Calibration(8.0, np.full(len(langs), np.inf))
+    place = {lang: j for j, lang in enumerate(langs)}
 
-    def columns(b, mean, letters):
-        return [b.column("lang"), pa.array(letters), pa.array(mean.tolist(), pa.list_(pa.float64()))]
-
-    got = _scored(rows.where(F.col("lang").isin(seen)), blocks, "lang string, letters boolean, mean array<double>", columns).where("letters").collect()
-    got.sort()
-    right = np.array([seen.index(r.lang) for r in got], int)
-    own = Calibration(seen, right, np.array([r.mean for r in got]).reshape(len(got), len(seen)))
-    place = {lang: j for j, lang in enumerate(seen)}
-    whole = own.bounds.min() if len(own.bounds) else np.inf
-    own.bounds = np.array([own.bounds[place[lang]] if lang in place else whole for lang in langs])
-    return own
+    def run(batches):
+        for group, each in common.blockwise(batches, "text", blocks, lambda models: models, limit=8 << 20, most=8 << 20):
+            mean = [np.full((b.num_rows, len(langs)), -np.inf) for b in group]
+            letters = [np.zeros(b.num_rows, bool) for b in group]
+            for _, folds in each:
+                for k, b in enumerate(group):
+                    fold = b.column("fold").to_numpy()
+                    for part, models in folds.items():
+                        own, at = np.flatnonzero(fold == part), 0
+                        for some in common.slices(iter([b.select(["text"]).take(pa.array(own))]), "text", 1 << 20):
+                            rows = own[at : at + some.num_rows]
+                            at += some.num_rows
+                            got, letters[k][rows] = means(models, some.column("text").to_pylist())
+                            mean[k][rows[:, None], [place[x] for x in models]] = got
+            for k, b in enumerate(group):
+                right = np.array([place[x] for x in b.column("lang").to_pylist()], int)
+                yield from _judged(right, mean[k], letters[k])
+
+    found = cut(known.mapInArrow(run, "lang int, entropy long, temperature int, likelihood long"))
+    for block in blocks:
+        block.destroy()
+    sums = {r.temperature: r.likelihood for r in found.where("temperature is not null").groupBy("temperature").agg(F.sum("likelihood").alias("likelihood")).collect()}
+    bounds = _bounds(found.where("lang is not null"), len(langs))
+    return Calibration(float(TEMPERATURES[max(sorted(sums), key=sums.__getitem__)]) if sums else 8.0, bounds)
+
+
+def _judged(right: np.ndarray, mean: np.ndarray, letters: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The cross-entropy (a double's bits, which sort as it does) of each row that is named rightly, and the rows' log-likelihood at each temperature.
+
+    right: the number of each row's language; mean: its mean log-probabilities, minus infinity where a language has no model.
+    """
+    names = ["lang", "entropy", "temperature", "likelihood"]
+    rows = letters & (mean[np.arange(len(right)), right] > -np.inf)
+    right, mean = right[rows], mean[rows]
+    if not len(right):
+        return
+    gap = mean - mean.max(axis=1, keepdims=True)
+    own = gap[np.arange(len(right)), right]
+    sums = [int(np.rint(GRAIN * (t * own - np.log(np.exp(t * gap).sum(axis=1)))).astype(np.int64).sum()) for t in TEMPERATURES]
+    size = len(sums)
+    yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.array(range(size), pa.int32()), pa.array(sums, pa.int64())], names)
+    hit = mean.argmax(axis=1) == right
+    entropy = np.abs(mean.max(axis=1)[hit])
+    size = len(entropy)
+    yield pa.RecordBatch.from_arrays([pa.array(right[hit], pa.int32()), pa.array(entropy.view(np.int64)), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], names)
+
+
+def _bounds(found: DataFrame, size: int) -> np.ndarray:
+    """Each language's bound, of (lang, entropy) rows: the value at rank SHARE of its rows, of all rows where it has fewer than FEW.
+
+    The rank is followed through the values' 64 bits, 16 at a time: a language has at most 65,536 counts a step, wherever its rows lie.
+    """
+    every = -1
+    each = found.select(F.explode(F.array("lang", F.lit(every))).alias("lang"), "entropy")
+    rows = {r.lang: r.n for r in each.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not rows:
+        return np.full(size, np.inf)
+    at = [(lang, 0, math.ceil(SHARE * n)) for lang, n in rows.items() if lang == every or n >= FEW]
+    for shift in (48, 32, 16, 0):
+        wanted = found.sparkSession.createDataFrame(at, "lang int, head long, rank long")
+        near = each.join(F.broadcast(wanted), "lang").where(F.shiftright("entropy", min(63, shift + 16)) == F.col("head"))
+        bins = near.groupBy("lang", "rank", F.shiftright("entropy", shift).alias("head")).agg(F.count("*").alias("n"))
+        upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("head"))).where("upto >= rank")
+        least = upto.groupBy("lang").agg(F.min(F.struct("head", F.expr("rank - upto + n").alias("rank"))).alias("least"))
+        at = [(r.lang, r.least.head, r.least.rank) for r in least.collect()]
+    values = {lang: float(np.int64(head).view(np.float64)) for lang, head, _ in at}
+    return np.array([values.get(j, values[every]) for j in range(size)])
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,55 @@ def test_rejection_is_calibrated(spark):
     assert share[True] < 0.1 and share[False] > 0.5, share
 
 
+def test_all_learned_rows_calibrate(spark, monkeypatch):
+    """Temperature and bounds are those of a loop over every learned row, scored by models of the other folds; `few` has too few rows for a bound of its own."""
+    made, real = [], langid._calibrated
+    monkeypatch.setattr(langid, "_calibrated", lambda *a: made.append(real(*a)) or made[-1])
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("aaabbcde " + ("gh" if lang == "x" else "i")) for _ in range(r.randint(3, 60))), lang, "s") for i, lang in enumerate(["x"] * 300 + ["y"] * 200 + ["few"] * 12)]
+    rows += [(600, rows[0][1], "x", "s")] * 3 + [(601, "12 !", "x", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    langid.identify(docs, docs).count()
+    fold = [f.fold for f in docs.select(F.pmod(F.xxhash64("text"), F.lit(langid.PARTS)).alias("fold")).collect()]
+    langs, mean, right = ["few", "x", "y"], [], []
+    for k in set(fold):
+        models = {}
+        for lang in langs:
+            found = langid.Grams([x[1] for x, f in zip(rows, fold, strict=True) if x[2] == lang and f != k])
+            models[lang] = langid.Model(found.grams, found.counts())
+        own = [x for x, f in zip(rows, fold, strict=True) if f == k]
+        got, letters = langid.means(models, [x[1] for x in own])
+        mean += got[letters].tolist()
+        right += [langs.index(x[2]) for x, ok in zip(own, letters, strict=True) if ok]
+    mean, right = np.array(mean), np.array(right)
+    assert len(right) == len(rows) - 1
+    likelihood = [sum(t * m[j] - math.log(sum(math.exp(t * x) for x in m)) for m, j in zip(mean, right, strict=True)) for t in langid.TEMPERATURES]
+    hit = mean.argmax(axis=1) == right
+    bound = lambda own: sorted(-mean.max(axis=1)[own])[-(-995 * int(own.sum()) // 1000) - 1]
+    assert made[0].temperature == langid.TEMPERATURES[int(np.argmax(likelihood))]
+    assert np.allclose(made[0].bounds, [bound(hit), bound(hit & (right == 1)), bound(hit & (right == 2))], rtol=1e-9, atol=0)
+
+
+def test_bounds_are_exact_ranks(spark):
+    r = np.random.default_rng(3)
+    value = np.concatenate([r.gamma(3, 0.5, 3000), np.full(40, 2.5), [0.0, 1e-9, 13.9]])
+    lang = np.concatenate([r.integers(0, 3, 3000), np.full(40, 1), [3, 3, 3]])
+    found = spark.createDataFrame(list(zip(lang.tolist(), value.view(np.int64).tolist(), strict=True)), "lang int, entropy long")
+    rank = lambda x: np.sort(x)[-(-995 * len(x) // 1000) - 1]
+    assert langid._bounds(found, 5).tolist() == [*(rank(value[lang == j]) for j in range(3)), rank(value), rank(value)]
+    assert np.isinf(langid._bounds(found.limit(0), 2)).all()
+
+
+def test_two_texts_of_a_language_judge_each_other(spark):
+    """Wherever their hashes lie, a language's texts are in two folds at least, and copies are in one."""
+    rows = [(f"word{i // 2} {i % 2}x", f"l{i // 2:02}") for i in range(60)] + [("word0 0x", "l00"), ("single", "one"), ("single", "one")]
+    folds = {}
+    for x in langid._known(spark.createDataFrame(rows, "text string, lang string")).collect():
+        folds.setdefault(x.lang, {}).setdefault(x.text, set()).add(x.fold)
+    assert len(folds) == 31 and all(len(f) == 1 for texts in folds.values() for f in texts.values())
+    assert all(len(set.union(*texts.values())) == len(texts) for texts in folds.values())
+
+
 def test_languages_of_odd_rows(odd_docs, no_docs):
     out = langid.identify(odd_docs, odd_docs).collect()
     assert len(out) == odd_docs.count()
