@@ -32,6 +32,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a part, about: what a task sorts or groups at once.
+ROWS = 1 << 18
+
+
+def parts(rows: int) -> int:
+    """So many parts that none has much more than ROWS rows, whatever the session's number of shuffle partitions is."""
+    return max(1, -(-rows // ROWS))
+
+
+def dealt(df: DataFrame, sized: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to parts of about ROWS rows of sized; a task's memory does not grow with the table. Parquet counts by its footers."""
+    return df.repartition(parts(sized.count()), *keys)
+
+
 def dense_ranks(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with the dense rank of each row among all rows by order, from 0, without a task that holds them all.
 

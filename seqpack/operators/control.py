@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqpack.functions import hashes
+from seqpack.functions import cuts, hashes
 
 #: The roles that may do each operation.
 OPERATIONS = {
@@ -222,41 +222,55 @@ def fairness() -> Column:
     return F.expr("greatest(0, virtual_runtime div greatest(1, weight) - priority * 1000)")
 
 
-#: Workers that are broadcast at most; more of them meet the requests in a shuffle, in so many parts for each model.
+#: Cells of workers that are broadcast at most; more of them meet the shapes in a shuffle, in so many parts for each model.
 BROADCAST, PARTS = 10_000, 64
+#: Cells for each e-fold of a rate: rates of one cell differ by a thirty-second at most.
+FINE = 32
 
 
-def frontier(workers: DataFrame) -> DataFrame:
-    """Per model the eligible workers that can be the best for some request: none is as fast, as little loaded and of no higher id."""
+def able_workers(workers: DataFrame) -> DataFrame:
+    """Per model the eligible workers with the cell of their rates; of those that are alike in load and rates the least id."""
     load = (F.col("queue_depth") + F.col("active")).alias("load")
     rates = [F.greatest(F.lit(1), c).alias(c) for c in ("prefill_rate", "decode_rate")]
     able = workers.where("state < 2 and not circuit_open").select("worker_id", "model_mask", load, *rates)
     models = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda m: F.getbit(F.col("model_mask").cast("long"), m.cast("int")) == 1)
     able = able.select(F.explode(models).alias("model_id"), "worker_id", "load", "prefill_rate", "decode_rate")
     same = able.groupBy("model_id", "load", "prefill_rate", "decode_rate").agg(F.min("worker_id").alias("worker_id"))
-    one, two = same.alias("one"), same.alias("two")
-    better = (F.col("two.model_id") == F.col("one.model_id")) & (F.col("two.load") <= F.col("one.load")) & (F.col("two.prefill_rate") >= F.col("one.prefill_rate")) & (F.col("two.decode_rate") >= F.col("one.decode_rate"))
-    other = (F.col("two.worker_id") < F.col("one.worker_id")) | ((F.col("two.load") < F.col("one.load")) & (F.col("two.worker_id") != F.col("one.worker_id")))
-    return one.join(two, better & other, "left_anti")
+    return same.withColumns({f"_{c}": F.floor(F.log(c) * FINE) for c in ("prefill_rate", "decode_rate")})
 
 
 def best_worker(requests: DataFrame, workers: DataFrame) -> DataFrame:
     """[J16, O5] Per request (request_id, model_id, ...) the eligible worker of least score, ties to the least id; requests without one have no row.
 
-    A tenant's fairness is the same for all workers, so it never decides between them. Only workers of the frontier meet a
-    request, and the best of a part is kept before anything is shuffled.
+    A tenant's fairness is the same for all workers, so it never decides between them. Requests never meet workers: what decides
+    is a request's shape (model, tokens to prefill and to decode, none of either without a deadline), so each shape is answered
+    once. A shape first meets cells of workers alike in load and nearly alike in rates; the slowest and the fastest rates of a
+    cell bound its scores, and only workers of cells whose least score is not above the least upper bound are scored.
     """
-    prefill, decode = estimates()
-    edge = frontier(workers)
-    if edge.limit(BROADCAST + 1).count() <= BROADCAST:
-        pairs = requests.join(F.broadcast(edge), "model_id")
-    else:
+    urgent, work, slots = F.col("deadline") > 0, F.expr("greatest(0, prompt_tokens - cached_tokens)"), F.coalesce("completion_tokens", F.lit(0))
+    asked = requests.select("request_id", "model_id", "prompt_tokens", "cached_tokens", "completion_tokens", *[F.when(urgent, c).otherwise(0).cast("long").alias(n) for c, n in ((work, "_prompt"), (slots, "_completion"))], F.coalesce(urgent, F.lit(False)).alias("_urgent"))
+    shape, cell = ["model_id", "_prompt", "_completion"], ["model_id", "load", "_prefill_rate", "_decode_rate"]
+    score = lambda fast, slow: F.expr(f"_prompt * 1000000 div {fast} + _completion * 1000000 div {slow} + load * 1000")
+    able = able_workers(workers)
+    cells = able.groupBy(*cell).agg(*[f(c).alias(f"{n}_{c}") for c in ("prefill_rate", "decode_rate") for f, n in ((F.min, "least"), (F.max, "most"))])
+    few = cells.limit(BROADCAST + 1).count() <= BROADCAST
+
+    def met(shapes: DataFrame) -> DataFrame:
+        if few:
+            return shapes.join(F.broadcast(cells), "model_id")
         parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-        pairs = requests.withColumn("_part", F.pmod(F.xxhash64("request_id"), F.lit(PARTS)).cast("int")).join(edge.withColumn("_part", parts), ["model_id", "_part"])
-    scored = pairs.withColumn("prefill_us", prefill).withColumn("decode_us", decode)
-    score = (F.when(F.col("deadline") > 0, F.col("prefill_us") + F.col("decode_us")).otherwise(0) + F.col("load") * 1000).alias("score")
-    best = scored.groupBy("request_id").agg(F.min(F.struct(score, F.col("worker_id"), F.col("prefill_us"), F.col("decode_us"))).alias("m"))
-    return best.select("request_id", "m.worker_id", "m.prefill_us", "m.decode_us", "m.score")
+        return shapes.withColumn("_part", F.pmod(F.xxhash64(*shape), F.lit(PARTS)).cast("int")).join(cells.withColumn("_part", parts), ["model_id", "_part"])
+
+    bounds = met(asked.select(*shape).distinct()).groupBy(*shape).agg(F.min(score("least_prefill_rate", "least_decode_rate")).alias("_bound"))
+    near = met(bounds).where(score("most_prefill_rate", "most_decode_rate") <= F.col("_bound")).select(*shape, *cell[1:])
+    best = F.min(F.struct(score("prefill_rate", "decode_rate").alias("score"), "worker_id", "prefill_rate", "decode_rate")).alias("m")
+    chosen = near.join(able, cell).groupBy(*shape).agg(best).select(*shape, "m.*")
+    prefill, decode = estimates()
+    scored = asked.join(chosen, shape).withColumn("prefill_us", prefill).withColumn("decode_us", decode)
+    scored = scored.select("request_id", F.when(~F.col("_urgent") | F.col("decode_us").isNotNull(), F.col("score")).alias("score"), "worker_id", "prefill_us", "decode_us")
+    # a request_id that stands twice has one row
+    one = cuts.dealt(scored, requests, "request_id").groupBy("request_id").agg(F.min(F.struct("score", "worker_id", "prefill_us", "decode_us")).alias("m"))
+    return one.select("request_id", "m.worker_id", "m.prefill_us", "m.decode_us", "m.score")
 
 
 def scale_plan(tenants: DataFrame, workers: DataFrame, threshold: int) -> DataFrame:
