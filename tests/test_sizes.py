@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from seqpack.operators import control
+from seqpack.operators import control, kv
 
 
 def steps(df):
@@ -42,3 +44,30 @@ def test_requests_do_not_meet_workers(spark):
         p, c = (i % 50 * 7 + 10) * 1_000_000, (i % 50 + 1) * 1_000_000
         s, k = min((p // (k * 10 + 500) + c // (k + 100), k) for k in range(1000))
         assert (got[i].worker_id, got[i].score) == (k, s)
+
+
+@pytest.mark.parametrize("tile", [1 << 20, 64])
+def test_attention_over_all_tokens_joins_no_pairs(spark, monkeypatch, tile):
+    """Tiles of 16 rows, and one for all; ids leave gaps and come in no order."""
+    monkeypatch.setattr(kv, "TILE", tile, raising=False)
+    r = np.random.default_rng(5)
+    token, x = r.permutation(300) * 3, r.normal(size=(300, 4)) * 3
+    h = spark.createDataFrame([(int(t), 0, v, [*v[:3], 1.0]) for t, v in zip(token, x.tolist(), strict=True)], "token long, head long, k array<double>, v array<double>")
+    q = spark.createDataFrame([(int(t) + 1, n, v) for t, v in zip(token, x.tolist(), strict=True) for n in (0, 1)], "qpos long, qhead long, q array<double>")
+    out = kv.attention(q, h, 0, 4, group=2)
+    assert joined_rows(out) <= 600
+    got = {(g.qpos, g.qhead): g.out for g in out.collect()}
+    assert len(got) == 600
+    for (t, _), o in got.items():
+        seen = token < t
+        s = x[seen] @ x[token == t - 1][0] / 2
+        w = np.exp(s - s.max())
+        np.testing.assert_allclose(o, [*(w @ x[seen][:, :3] / w.sum()), 1.0], rtol=1e-9, atol=1e-12)
+
+
+def test_attention_weighs_nothing_unseen(spark):
+    """An infinite value at token 2 is no part of what tokens 0 and 1 see."""
+    v = [(0, [1.0]), (1, [3.0]), (2, [float("inf")])]
+    h = spark.createDataFrame([(t, 0, [0.0], x) for t, x in v], "token long, head long, k array<double>, v array<double>")
+    q = spark.createDataFrame([(t, 0, [1.0]) for t in (-1, 0, 1, 2)], "qpos long, qhead long, q array<double>")
+    assert {g.qpos: g.out for g in kv.attention(q, h, 0, 1).collect()} == {-1: [0.0], 0: [1.0], 1: [2.0], 2: [float("inf")]}
