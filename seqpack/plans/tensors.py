@@ -189,7 +189,7 @@ def quant_matmul(spark, d):
     v = B.vectors(spark, d)
     w = codec.quantized(v, ["token"], 4).select(F.col("token").alias("m"), F.col("dim").alias("k"), "q", "s")
     i = v.groupBy(F.col("page").alias("b"), F.col("dim").alias("k")).agg(F.avg("x").alias("v"))
-    return kv.matmul(i, w).withColumn("y", F.round("y", 4) + F.lit(0.0))
+    return kv.matmul(i, w, digits=4)
 
 
 HEAD = 16

@@ -71,3 +71,40 @@ def test_attention_weighs_nothing_unseen(spark):
     h = spark.createDataFrame([(t, 0, [0.0], x) for t, x in v], "token long, head long, k array<double>, v array<double>")
     q = spark.createDataFrame([(t, 0, [1.0]) for t in (-1, 0, 1, 2)], "qpos long, qhead long, q array<double>")
     assert {g.qpos: g.out for g in kv.attention(q, h, 0, 1).collect()} == {-1: [0.0], 0: [1.0], 1: [2.0], 2: [float("inf")]}
+
+
+@pytest.mark.parametrize("odd", [None, "gap", "null", "nan"])
+def test_products_join_no_pairs(spark, monkeypatch, odd):
+    """Tiles of 16 rows; factors that are missing, null or not a number."""
+    monkeypatch.setattr(kv, "FACTORS", 64, raising=False)
+    r = np.random.default_rng(7)
+    v = {(b, k): float(r.normal()) for b in range(40) for k in range(4)}
+    w = {(m, k): (int(r.integers(-8, 8)), float(r.random() + 1)) for m in range(60) for k in range(4)}
+    if odd == "gap":
+        v = {(b, k): x for (b, k), x in v.items() if b > 1 or k == b}
+        w = {(m, k): x for (m, k), x in w.items() if m > 1 or k == m}
+    elif odd == "null":
+        v |= {(3, k): None for k in range(4)} | {(4, 0): None}
+    elif odd == "nan":
+        v |= {(3, 0): float("nan")}
+        w = {(m, k): x for (m, k), x in w.items() if m != 5 or k > 0}
+    i = spark.createDataFrame([(b, k, x) for (b, k), x in v.items()], "b long, k int, v double")
+    q = spark.createDataFrame([(m, k, *x) for (m, k), x in w.items()], "m long, k int, q int, s double")
+    out = kv.matmul(i, q, 1)
+    assert joined_rows(out) <= len(v) + len(w)
+    got = {(g.b, g.m): g.y for g in out.collect()}
+    expected = {}
+    for b in range(40):
+        for m in range(60):
+            common = [k for k in range(4) if (b, k) in v and (m, k) in w]
+            terms = [v[b, k] * (w[m, k][0] - 1) * w[m, k][1] for k in common if v[b, k] is not None]
+            if common:
+                expected[b, m] = sum(terms) if terms else None
+    assert got.keys() == expected.keys()
+    assert all(y is None and got[p] is None or y == pytest.approx(got[p], rel=1e-9, abs=1e-9, nan_ok=True) for p, y in expected.items())
+
+
+def test_products_are_rounded_half_away_from_zero():
+    y = np.array([0.5, -0.5, 2.5, 0.49999999999999994, -0.2, 1e300, np.inf, np.nan])
+    assert [repr(float(x)) for x in kv.rounded(y, 0)] == ["1.0", "-1.0", "3.0", "0.0", "0.0", "1e+300", "inf", "nan"]
+    assert repr(float(kv.rounded(np.array([-0.00004]), 4)[0])) == "0.0"
