@@ -82,8 +82,10 @@ def stats(pages: DataFrame, tails: DataFrame) -> DataFrame:
 
 def copied(refs: DataFrame, source: int, target: int, begin: int, end: int) -> DataFrame:
     """[T7] refs and those of target: pages of source that lie whole inside [begin, end) are shared by reference."""
-    mine = refs.where((F.col("seq_id") == source) & (F.col("begin") >= begin) & (F.col("begin") + F.col("n") <= end))
-    return refs.unionByName(mine.withColumn("seq_id", F.lit(target).cast(refs.schema["seq_id"].dataType)))
+    mine = (F.col("seq_id") == source) & (F.col("begin") >= begin) & (F.col("begin") + F.col("n") <= end)
+    copy = F.lit(target).cast(refs.schema["seq_id"].dataType)
+    # one pass that leaves rows where they are dealt, where a union would have them shuffled again
+    return refs.withColumn("seq_id", F.explode(F.when(mine, F.array("seq_id", copy)).otherwise(F.array("seq_id"))))
 
 
 def removed(refs: DataFrame, seq: int, begin: int, end: int) -> DataFrame:

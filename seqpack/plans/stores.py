@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqpack.functions import hashes
+from seqpack.functions import cuts, hashes
 from seqpack.operators import control, store
 from seqpack.plans import bindings as B
 from seqpack.plans.registry import query
@@ -24,8 +24,11 @@ def pages(spark, d):
 
 
 def refs(spark, d):
-    l = B.table(spark, d, "lineitem").selectExpr("l_suppkey as seq_id", "l_orderkey as page_id").where("page_id % 5 > 0")
-    return l.join(pages(spark, d).select("page_id", "layer", "begin", "n"), "page_id").select("seq_id", "layer", "begin", "n", "page_id")
+    """Line items and pages are dealt by page to parts of bounded size, so what a task sorts and groups does not grow with the tables."""
+    line = B.table(spark, d, "lineitem")
+    l = line.selectExpr("l_suppkey as seq_id", "l_orderkey as page_id").where("page_id % 5 > 0")
+    p = pages(spark, d).select("page_id", "layer", "begin", "n")
+    return cuts.dealt(l, line, "page_id").join(cuts.dealt(p, line, "page_id"), "page_id").select("seq_id", "layer", "begin", "n", "page_id")
 
 
 @query("page_overlap", f"with {PAGES} select page_id, begin, covered from (select *, max(begin + n) over (partition by layer, head order by begin, page_id rows between unbounded preceding and 1 preceding) as covered from pages) where begin < covered")

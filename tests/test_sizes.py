@@ -6,9 +6,12 @@ import random
 
 import numpy as np
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
-from seqpack.operators import control, kv
+from seqpack.functions import cuts
+from seqpack.operators import control, kv, store
+from seqpack.registry import ORACLES, QUERIES
 
 
 def steps(df):
@@ -108,3 +111,20 @@ def test_products_are_rounded_half_away_from_zero():
     y = np.array([0.5, -0.5, 2.5, 0.49999999999999994, -0.2, 1e300, np.inf, np.nan])
     assert [repr(float(x)) for x in kv.rounded(y, 0)] == ["1.0", "-1.0", "3.0", "0.0", "0.0", "1e+300", "inf", "nan"]
     assert repr(float(kv.rounded(np.array([-0.00004]), 4)[0])) == "0.0"
+
+
+@pytest.mark.parametrize("name", ["seq_copy"])
+def test_a_task_groups_a_bounded_number_of_references(spark, monkeypatch, name):
+    """60,000 line items dealt to parts of about 1,000, though the session has four shuffle partitions."""
+    monkeypatch.setattr(cuts, "ROWS", 1000, raising=False)
+    out = QUERIES[name](spark, "/root/testdata/sf0.01")
+    largest = out.groupBy(F.spark_partition_id().alias("part")).count().agg(F.max("count")).first()[0]
+    assert largest <= 2000
+    compare(spark, QUERIES[name], ORACLES[name])
+
+
+def test_a_copy_of_nothing_and_of_null(spark):
+    refs = spark.createDataFrame([(3, 0, 0, 4, 1), (3, 0, None, 4, 2), (None, 0, 0, 4, 3), (3, 0, 8, 4, 4)], "seq_id int, layer int, begin long, n long, page_id long")
+    out = store.copied(refs, 3, 9, 0, 8)
+    assert out.schema["seq_id"].dataType == refs.schema["seq_id"].dataType and out.columns == refs.columns
+    assert sorted((r.page_id, r.seq_id or 0) for r in out.collect()) == [(1, 3), (1, 9), (2, 3), (3, 0), (4, 3)]
