@@ -113,7 +113,7 @@ def test_products_are_rounded_half_away_from_zero():
     assert repr(float(kv.rounded(np.array([-0.00004]), 4)[0])) == "0.0"
 
 
-@pytest.mark.parametrize("name", ["seq_copy"])
+@pytest.mark.parametrize("name", ["seq_copy", "seq_shift"])
 def test_a_task_groups_a_bounded_number_of_references(spark, monkeypatch, name):
     """60,000 line items dealt to parts of about 1,000, though the session has four shuffle partitions."""
     monkeypatch.setattr(cuts, "ROWS", 1000, raising=False)
