@@ -222,7 +222,7 @@ def fairness() -> Column:
     return F.expr("greatest(0, virtual_runtime div greatest(1, weight) - priority * 1000)")
 
 
-#: Cells of workers that are broadcast at most; more of them meet the shapes in a shuffle, in so many parts for each model.
+#: Cells of workers, and answers to shapes, that are broadcast at most; more of them are met in a shuffle, in so many parts for each model.
 BROADCAST, PARTS = 10_000, 64
 #: Cells for each e-fold of a rate: rates of one cell differ by a thirty-second at most.
 FINE = 32
@@ -264,9 +264,16 @@ def best_worker(requests: DataFrame, workers: DataFrame) -> DataFrame:
     bounds = met(asked.select(*shape).distinct()).groupBy(*shape).agg(F.min(score("least_prefill_rate", "least_decode_rate")).alias("_bound"))
     near = met(bounds).where(score("most_prefill_rate", "most_decode_rate") <= F.col("_bound")).select(*shape, *cell[1:])
     best = F.min(F.struct(score("prefill_rate", "decode_rate").alias("score"), "worker_id", "prefill_rate", "decode_rate")).alias("m")
-    chosen = near.join(able, cell).groupBy(*shape).agg(best).select(*shape, "m.*")
+    chosen = cuts.written(near.join(able, cell).groupBy(*shape).agg(best).select(*shape, "m.*"))
+    if chosen.limit(BROADCAST + 1).count() <= BROADCAST:
+        answered = asked.join(F.broadcast(chosen), shape)
+    else:
+        # all requests without a deadline share a shape for each model: their answers are copied to parts
+        free, parts = (F.col("_prompt") == 0) & (F.col("_completion") == 0), F.sequence(F.lit(0), F.lit(PARTS - 1))
+        spread = asked.withColumn("_part", F.when(free, F.pmod(F.xxhash64("request_id"), F.lit(PARTS)).cast("int")).otherwise(0))
+        answered = spread.join(chosen.withColumn("_part", F.explode(F.when(free, parts).otherwise(F.array(F.lit(0))))), [*shape, "_part"])
     prefill, decode = estimates()
-    scored = asked.join(chosen, shape).withColumn("prefill_us", prefill).withColumn("decode_us", decode)
+    scored = answered.withColumn("prefill_us", prefill).withColumn("decode_us", decode)
     scored = scored.select("request_id", F.when(~F.col("_urgent") | F.col("decode_us").isNotNull(), F.col("score")).alias("score"), "worker_id", "prefill_us", "decode_us")
     # a request_id that stands twice has one row
     one = cuts.dealt(scored, requests, "request_id").groupBy("request_id").agg(F.min(F.struct("score", "worker_id", "prefill_us", "decode_us")).alias("m"))
